@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that make a column name look like a date, and the text
-# layouts tried when a text column is read as a timestamp (first match wins).
+# layouts a text column is read with (shape pattern, Spark datetime pattern);
+# the first shape that matches picks the layout.
 DATE_NAME_WORDS = ("date", "time", "timestamp", "created", "updated")
 DATE_FORMATS = (
-    "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy/MM/dd[ HH:mm:ss]",
-    "MM/dd/yyyy[ HH:mm:ss]",
-    "yyyy-MM",
+    (r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{2}:\d{2}(\.\d{1,6})?)?$", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}(\.\d{1,6})?$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}:\d{2})?$", "yyyy/MM/dd[ HH:mm:ss]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}:\d{2})?$", "MM/dd/yyyy[ HH:mm:ss]"),
+    (r"^\d{4}-\d{1,2}$", "yyyy-MM"),
 )
 
 DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -30,9 +31,17 @@ def is_datetime_type(dt: T.DataType) -> bool:
 
 
 def parse_timestamp(c: Column) -> Column:
-    """Text → timestamp_ntz; text that fits no layout gives null."""
-    tries = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """Text → timestamp_ntz; text that fits no layout gives null.
+
+    The layout is chosen by a cheap shape test first, so only text that
+    looks like that layout reaches the date parser (no parse attempt, and
+    no parse failure, for the many values that are not dates at all)."""
+    t = F.trim(c)
+    out = None
+    for shape, fmt in DATE_FORMATS:
+        parsed = F.try_to_timestamp(t, F.lit(fmt))
+        out = F.when(t.rlike(shape), parsed) if out is None else out.when(t.rlike(shape), parsed)
+    return out.cast("timestamp_ntz")
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:
