@@ -79,23 +79,34 @@ def inspect_schema(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, df.limit(5)
 
 
+def quartile_values(df: DataFrame, cols: list[str], probs=QUARTILES, approx: bool = False) -> dict:
+    """``{column: [value per prob]}``: exact (bounded, see ``quantiles.py``)
+    or, with ``approx=True``, one ``percentile_approx`` aggregate."""
+    if approx:
+        row = df.agg(*[quantiles(clean_value(df, c), probs, True).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    from tablework.operators.quantiles import exact_quantiles
+    return exact_quantiles(df, cols, list(probs))
+
+
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, 25/50/75 %, max per numeric column."""
+    """count, mean, std, min, 25/50/75 %, max per numeric column: one
+    aggregate for the moments and extremes, plus the quartile passes."""
     cols = columns if columns is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         v = clean_value(df, c).cast("double")
-        qs = quantiles(v, QUARTILES, approx)
-        aggs += [F.count(v).cast("double").alias(f"{i}__count"), F.avg(v).alias(f"{i}__mean"),
-                 F.stddev_samp(v).alias(f"{i}__std"), F.min(v).alias(f"{i}__min"),
-                 qs.alias(f"{i}__q"), F.max(v).alias(f"{i}__max")]
-    wide = df.agg(*aggs)
-    wide = wide.select(*[x for i in range(len(cols)) for x in (
-        F.col(f"{i}__count"), F.col(f"{i}__mean"), F.col(f"{i}__std"), F.col(f"{i}__min"),
-        F.col(f"{i}__q")[0].alias(f"{i}__p25"), F.col(f"{i}__q")[1].alias(f"{i}__p50"),
-        F.col(f"{i}__q")[2].alias(f"{i}__p75"), F.col(f"{i}__max"))])
-    out = _stack(wide, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
-    return out.withColumn("count", F.col("count").cast("long"))
+        aggs += [F.count(v).alias(f"{i}__count"), F.avg(v).alias(f"{i}__mean"),
+                 F.stddev_samp(v).alias(f"{i}__std"), F.min(v).alias(f"{i}__min"), F.max(v).alias(f"{i}__max")]
+    row = df.agg(*aggs).first()
+    qs = quartile_values(df, cols, QUARTILES, approx)
+    rows = [(c, int(row[f"{i}__count"]), row[f"{i}__mean"], row[f"{i}__std"], row[f"{i}__min"],
+             qs[c][0], qs[c][1], qs[c][2], row[f"{i}__max"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.dates import is_date_name, parse_timestamp
-from tablework.operators.profile import clean_value, numeric_columns, q, quantiles
+from tablework.operators.profile import clean_value, numeric_columns, q, quartile_values
 
 # Thresholds of the preflight checks.
 MAX_MISSING_RATIO = 0.8
@@ -63,16 +63,16 @@ def column_stats(df: DataFrame, approx: bool = False) -> ColumnStats:
         aggs.append(F.count_if(clean_value(df, c).isNull()).alias(f"n{i}"))
     for i, c in enumerate(nums):
         v = clean_value(df, c).cast("double")
-        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 quantiles(v, (0.25, 0.75), approx).alias(f"q{i}")]
+        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     for i, c in enumerate(dcols):
         aggs.append(F.count_if(q(c).isNotNull() & parse_timestamp(q(c)).isNull()).alias(f"d{i}"))
     row = df.agg(*aggs).first()
+    qv = quartile_values(df, nums, (0.25, 0.75), approx)
     return ColumnStats(
         rows=row["rows"],
         nulls={c: row[f"n{i}"] for i, c in enumerate(df.columns)},
         minmax={c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(nums)},
-        quartiles={c: tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else None for i, c in enumerate(nums)},
+        quartiles={c: (tuple(qv[c]) if qv[c][0] is not None else None) for c in nums},
         bad_dates={c: row[f"d{i}"] for i, c in enumerate(dcols)},
     )
 

@@ -14,7 +14,7 @@ from tablework.functions.dates import coerce_if_dates
 from tablework.operators.aggregate import top_n_sum
 from tablework.operators.ordinal import with_row_index
 from tablework.operators.profile import (clean_value, first_numeric, numeric_columns,
-                                         pick_categorical, q, quantiles)
+                                         pick_categorical, q, quartile_values)
 
 # Chart rules.
 AXIS_DATE_SHARE = 0.5
@@ -56,9 +56,8 @@ def bar_auto_series(df: DataFrame, top_n: int = DEFAULT_TOP_N, approx: bool = Fa
 
 
 def _fence_row(df: DataFrame, cols: list[str], approx: bool) -> dict:
-    aggs = [quantiles(clean_value(df, c), (0.25, 0.5, 0.75), approx).alias(f"q{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first()
-    return {c: row[f"q{i}"] for i, c in enumerate(cols)}
+    qs = quartile_values(df, cols, (0.25, 0.5, 0.75), approx)
+    return {c: (qs[c] if qs[c][0] is not None else None) for c in cols}
 
 
 def box_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
