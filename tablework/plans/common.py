@@ -29,6 +29,12 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def as_double(df: DataFrame, *cols: str) -> DataFrame:
+    """Integer columns that can hold nulls, as doubles: pandas (and so every
+    pandas-based comparison) reads a nullable integer as a float anyway."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols})
+
+
 class Registry:
     """name → (query, oracle SQL or None)."""
 

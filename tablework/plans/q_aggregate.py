@@ -232,19 +232,19 @@ def register(reg):
     @reg.add("question_top_n", f"""
         WITH q AS ({QUESTIONS_SQL})
         SELECT question,
-               coalesce(
+               CAST(coalesce(
                  CASE WHEN TRY_CAST(regexp_extract(lower(question), '\\b(?:top|best|highest|most|largest|first|biggest)\\s+(\\d+)\\b', 1) AS INTEGER) BETWEEN 1 AND 100
                       THEN TRY_CAST(regexp_extract(lower(question), '\\b(?:top|best|highest|most|largest|first|biggest)\\s+(\\d+)\\b', 1) AS INTEGER) END,
                  CASE WHEN TRY_CAST(regexp_extract(lower(question), '\\b(?:worst|lowest|smallest|bottom)\\s+(\\d+)\\b', 1) AS INTEGER) BETWEEN 1 AND 100
                       THEN TRY_CAST(regexp_extract(lower(question), '\\b(?:worst|lowest|smallest|bottom)\\s+(\\d+)\\b', 1) AS INTEGER) END,
                  CASE WHEN TRY_CAST(regexp_extract(lower(question), '\\btop-(\\d+)\\b', 1) AS INTEGER) BETWEEN 1 AND 100
-                      THEN TRY_CAST(regexp_extract(lower(question), '\\btop-(\\d+)\\b', 1) AS INTEGER) END) AS n,
+                      THEN TRY_CAST(regexp_extract(lower(question), '\\btop-(\\d+)\\b', 1) AS INTEGER) END) AS DOUBLE) AS n,
                regexp_extract(lower(question), '\\b(?:top|best|highest|most|largest|first|biggest)\\s+(\\d+)\\b', 1) = ''
                AND regexp_extract(lower(question), '\\b(?:worst|lowest|smallest|bottom)\\s+(\\d+)\\b', 1) <> '' AS smallest_first
         FROM q""")
     def question_top_n_q(spark, sf):
         q = questions(spark, sf)
-        return q.select("question", question_top_n(F.col("question")).alias("n"),
+        return q.select("question", question_top_n(F.col("question")).cast("double").alias("n"),
                         question_smallest_first(F.col("question")).alias("smallest_first"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablework.operators import aggregate as A
 from tablework.operators import facts as N
 from tablework.operators.prepare import prepare_data
@@ -66,10 +68,10 @@ def register(reg):
                  CASE WHEN trough_value <> 0 THEN (peak_value - trough_value) / trough_value * 100 ELSE 0 END AS peak_to_trough_pct,
                  CASE WHEN mean <> 0 THEN coalesce(std, 0) / mean * 100 ELSE 0 END AS cv_pct
               FROM s, pk, tr)
-        SELECT periods, round(first_value, 4) AS first_value, round(last_value, 4) AS last_value,
-               round(change_pct, 4) AS change_pct, peak_period, round(peak_value, 4) AS peak_value,
-               trough_period, round(trough_value, 4) AS trough_value, round(peak_to_trough_pct, 4) AS peak_to_trough_pct,
-               round(mean, 4) AS mean, round(cv_pct, 4) AS cv_pct,
+        SELECT periods, round(first_value, 2) AS first_value, round(last_value, 2) AS last_value,
+               round(change_pct, 4) AS change_pct, peak_period, round(peak_value, 2) AS peak_value,
+               trough_period, round(trough_value, 2) AS trough_value, round(peak_to_trough_pct, 4) AS peak_to_trough_pct,
+               round(mean, 2) AS mean, round(cv_pct, 4) AS cv_pct,
                CASE WHEN abs(change_pct) < 5 THEN 'relatively stable'
                     WHEN change_pct > 0 THEN CASE WHEN change_pct > 15 THEN 'upward trending' ELSE 'moderately increasing' END
                     ELSE CASE WHEN change_pct < -15 THEN 'declining' ELSE 'moderately decreasing' END END AS direction,
@@ -82,7 +84,10 @@ def register(reg):
     def summary_trend(spark, sf):
         p = prepare_data(table(spark, sf, "orders"), ["extract_month"], detect_dates=False)
         res = A.aggregate(p.df, ["month"], ["sum(o_totalprice) AS revenue"])
-        return rounded(N.trend_facts(res.df, "month", "revenue"))
+        # money columns are exact to cents; round them there (sum order noise)
+        facts = N.trend_facts(res.df, "month", "revenue")
+        money = ("first_value", "last_value", "peak_value", "trough_value", "mean")
+        return rounded(facts.withColumns({c: F.round(c, 2) for c in money}))
 
     @reg.add("summary_breakdown_pct", f"""
         WITH a AS ({REGION_SQL}), s AS (SELECT r_name, total_revenue / (SELECT sum(total_revenue) FROM a) * 100 AS share_pct FROM a)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablework.operators.opensql import asof_join, range_join, run_sql
-from tablework.plans.common import rounded, table
+from tablework.plans.common import as_double, rounded, table
 
 SAME = object()
 
@@ -28,7 +28,7 @@ SQL_QUERIES = [
         FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c RIGHT JOIN nation ON c_nationkey = n_nationkey
         GROUP BY n_nationkey""", SAME),
     ("sql_join_full", ["nation", "region"], """
-        SELECT n_nationkey, r_regionkey, r_name
+        SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, CAST(r_regionkey AS DOUBLE) AS r_regionkey, r_name
         FROM nation FULL OUTER JOIN region ON n_regionkey = r_regionkey + 2""", SAME),
     ("sql_semi", ["customer", "orders", "nation"], """
         SELECT c_custkey FROM customer c
@@ -62,7 +62,7 @@ SQL_QUERIES = [
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""", SAME),
     ("sql_window_lag", ["orders"], """
         SELECT o_orderkey,
-               lag(o_totalprice) OVER w AS prev_price, lead(o_orderkey, 2) OVER w AS next2,
+               lag(o_totalprice) OVER w AS prev_price, CAST(lead(o_orderkey, 2) OVER w AS DOUBLE) AS next2,
                first_value(o_orderkey) OVER w AS first_order, last_value(o_orderkey) OVER w AS last_so_far
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""", SAME),
     ("sql_window_frame", ["orders"], """
@@ -139,14 +139,14 @@ SQL_QUERIES = [
                coalesce(nullif(o_orderstatus, 'P'), 'pending') AS status,
                CAST(o_totalprice AS BIGINT) AS whole,
                try_cast(substring(o_orderpriority, 1, 1) AS INT) AS prio,
-               try_cast(o_orderstatus AS INT) AS not_a_number
+               CAST(try_cast(o_orderstatus AS INT) AS DOUBLE) AS not_a_number
         FROM orders""", """
         SELECT o_orderkey,
                CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band,
                coalesce(nullif(o_orderstatus, 'P'), 'pending') AS status,
                CAST(trunc(o_totalprice) AS BIGINT) AS whole,
                try_cast(substring(o_orderpriority, 1, 1) AS INT) AS prio,
-               try_cast(o_orderstatus AS INT) AS not_a_number
+               CAST(try_cast(o_orderstatus AS INT) AS DOUBLE) AS not_a_number
         FROM orders"""),
     ("sql_arrays", ["embeddings"], """
         SELECT vec_id, size(embedding) AS dims,
@@ -218,14 +218,14 @@ def register(reg):
     @reg.add("asof_join", """
         WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
              v AS (SELECT event_id AS view_id, user_id, ts AS vts, value FROM events WHERE event_type = 'view')
-        SELECT p.event_id, v.vts AS asof_ts, v.view_id AS asof_event_id, round(v.value, 4) AS asof_value
+        SELECT p.event_id, v.vts AS asof_ts, CAST(v.view_id AS DOUBLE) AS asof_event_id, round(v.value, 4) AS asof_value
         FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.vts""")
     def asof_join_q(spark, sf):
         ev = table(spark, sf, "events")
         p = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
         v = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
         out = asof_join(p, v, ["user_id"], "ts", ["event_id", "value"], bucket_seconds=6 * 3600)
-        return rounded(out.select("event_id", "asof_ts", "asof_event_id", "asof_value"))
+        return rounded(as_double(out.select("event_id", "asof_ts", "asof_event_id", "asof_value"), "asof_event_id"))
 
     @reg.add("sql_join_range", """
         WITH s AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),

@@ -8,16 +8,19 @@ from tablework.functions.dates import coerce_if_dates
 from tablework.functions.text import chart_label, format_value
 from tablework.operators import aggregate as A
 from tablework.operators.prepare import add_date_parts, auto_dates, prepare_data
-from tablework.plans.common import rounded, table
+from tablework.plans.common import as_double, rounded, table
 from tablework.plans.q_aggregate import LINEITEM_N, lineitem_nulls
 from tablework.plans.q_filters import ORDERS_TD, orders_text_dates
 
 
-def parts_sql(expr: str, prefix: str) -> str:
+def parts_sql(expr: str, prefix: str, num: str = "INTEGER") -> str:
     """DuckDB text of the six date parts of ``expr``."""
-    return (f"CAST(year({expr}) AS INTEGER) AS {prefix}_year, CAST(month({expr}) AS INTEGER) AS {prefix}_month, "
-            f"CAST(day({expr}) AS INTEGER) AS {prefix}_day, CAST(week({expr}) AS INTEGER) AS {prefix}_week, "
-            f"CAST(quarter({expr}) AS INTEGER) AS {prefix}_quarter, strftime({expr}, '%Y-%m') AS {prefix}_ym")
+    return (f"CAST(year({expr}) AS {num}) AS {prefix}_year, CAST(month({expr}) AS {num}) AS {prefix}_month, "
+            f"CAST(day({expr}) AS {num}) AS {prefix}_day, CAST(week({expr}) AS {num}) AS {prefix}_week, "
+            f"CAST(quarter({expr}) AS {num}) AS {prefix}_quarter, strftime({expr}, '%Y-%m') AS {prefix}_ym")
+
+
+NUM_PARTS = ("year", "month", "day", "week", "quarter")
 
 
 SHIPPED = ("CASE WHEN o_orderkey % 3 <> 0 THEN date_format(date_add(o_orderdate, 3), 'yyyy-MM-dd') "
@@ -46,16 +49,17 @@ def register(reg):
 
     @reg.add("op_parse_dates", f"""
         SELECT o_orderkey, try_strptime(order_day, '%Y-%m-%d') AS order_day,
-               {parts_sql("try_strptime(order_day, '%Y-%m-%d')", "order_day")}
+               {parts_sql("try_strptime(order_day, '%Y-%m-%d')", "order_day", "DOUBLE")}
         FROM {ORDERS_TD}""")
     def op_parse_dates(spark, sf):
         df = orders_text_dates(spark, sf).select("o_orderkey", "order_day")
-        return prepare_data(df, ["parse_dates: order_day"], detect_dates=False).df
+        out = prepare_data(df, ["parse_dates: order_day"], detect_dates=False).df
+        return as_double(out, *[f"order_day_{x}" for x in NUM_PARTS])
 
     @reg.add("auto_dates", f"""
         WITH t AS (SELECT o_orderkey, o_orderdate, try_strptime({SHIPPED_SQL}, '%Y-%m-%d') AS shipped,
                           o_orderpriority FROM orders)
-        SELECT *, {parts_sql("o_orderdate", "o_orderdate")}, {parts_sql("shipped", "shipped")},
+        SELECT *, {parts_sql("o_orderdate", "o_orderdate")}, {parts_sql("shipped", "shipped", "DOUBLE")},
                CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
                CAST(day(o_orderdate) AS INTEGER) AS day, strftime(o_orderdate, '%Y-%m') AS ym
         FROM t""")
@@ -65,7 +69,7 @@ def register(reg):
         p = prepare_data(df, [])
         if p.date_columns != ["o_orderdate", "shipped"]:
             raise AssertionError(f"date detection found {p.date_columns}")
-        return p.df
+        return as_double(p.df, *[f"shipped_{x}" for x in NUM_PARTS])
 
     @reg.add("date_parts", f"""
         SELECT l_orderkey, l_linenumber, l_shipdate, {parts_sql("l_shipdate", "l_shipdate")} FROM lineitem""")

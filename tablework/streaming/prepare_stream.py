@@ -19,12 +19,15 @@ STATELESS = ("filter", "parse_dates", "drop_na", "rename", "calculate",
              "extract_month", "extract_year", "extract_quarter")
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet",
+                glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Files arriving in ``directory`` (optionally only names matching ``glob``)."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    return reader.load(directory)
 
 
 def prepare_stream(df: DataFrame, ops: list[str], date_columns: list[str] | None = None,
