@@ -141,3 +141,62 @@ def single_row_text(df: DataFrame, max_pairs: int = 6, question: str | None = No
         val = format_value(q(c), c, question) if isinstance(dt, T.NumericType) else q(c).cast("string")
         parts.append(F.concat(F.lit(f"{c}="), F.coalesce(val, F.lit("None"))))
     return df.limit(1).select(F.concat_ws(" | ", *parts).alias("text"))
+
+
+# Question words that select a summary case.
+TREND_WORDS = ("trend", "trends", "over time", "monthly", "quarterly", "yearly", "which month", "which quarter",
+               "which year", "what month", "highest month", "lowest month", "best month", "worst month")
+PERIOD_KEYS = ("month", "quarter", "year")
+SHARE_QUESTION_WORDS = ("percentage", "percent", "share")
+TOP_QUESTION_WORDS = ("top", "best", "highest", "most", "largest", "worst", "lowest", "smallest")
+
+
+def summary_facts(df: DataFrame, meta: dict | None = None, question: str | None = None) -> tuple[str, DataFrame]:
+    """Pick the summary case for a result frame and return (case, facts).
+
+    Cases: ``empty``, ``scalar``, ``groups_only``, ``trend``,
+    ``breakdown_pct``, ``share_of_total``, ``breakdown``, ``top_n``,
+    ``groups``, ``single_row``, ``digest``, ``shape``.  Row counts come from
+    one aggregate; the facts themselves are the functions above."""
+    from tablework.functions.metrics import metric_columns
+    from tablework.functions.text import question_smallest_first
+    from tablework.operators.aggregate import share_of_total
+    from tablework.operators.profile import frame_digest, numeric_columns
+    spark = df.sparkSession
+    meta = meta or {}
+    ql = (question or "").lower()
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    if n == 0:
+        return "empty", spark.createDataFrame([("No rows returned.",)], "text string")
+    fields = df.schema.fields
+    if n == 1 and len(fields) == 1 and isinstance(fields[0].dataType, T.NumericType):
+        return "scalar", scalar_fact(df, bool(meta.get("is_aggregate")))
+    keys = [k for k in (meta.get("group_by") or []) if k in df.columns]
+    if meta.get("is_aggregate") and keys:
+        metrics = metric_columns(df, keys)
+        if not metrics:
+            return "groups_only", spark.createDataFrame(
+                [(", ".join(keys), n)], "group_by string, groups long")
+        periods = [k for k in keys if k.lower() in PERIOD_KEYS]
+        if periods and any(w in ql for w in TREND_WORDS):
+            return "trend", trend_facts(df, periods[0], metrics[0])
+        if any(w in ql for w in SHARE_QUESTION_WORDS) and n <= BREAKDOWN_MAX_GROUPS:
+            pct = [c for c in df.columns if "percentage" in c.lower() or "percent" in c.lower()]
+            if pct:
+                return "breakdown_pct", breakdown(df, keys, pct[0], question=question)
+            if "total_revenue" in df.columns:
+                shares = share_of_total(df, "total_revenue", "share_pct")
+                return "share_of_total", breakdown(shares, keys, "share_pct", question=question)
+            return "breakdown", breakdown(df, keys, metrics[0], question=question)
+        if any(w in ql for w in TOP_QUESTION_WORDS):
+            from tablework.functions.text import question_top_n
+            row = spark.createDataFrame([(question,)], "q string").select(
+                question_top_n(F.col("q")).alias("n"), question_smallest_first(F.col("q")).alias("s")).first()
+            show = row["n"] if row["n"] is not None else min(n, DEFAULT_SHOW_N)
+            return "top_n", topn_facts(df, keys, metrics[0], show, bool(row["s"]))
+        return "groups", group_facts(df, keys, metrics)
+    if n == 1:
+        return "single_row", single_row_text(df, question=question)
+    if numeric_columns(df):
+        return "digest", frame_digest(df, 3)
+    return "shape", spark.createDataFrame([(n, len(df.columns))], "rows long, columns int")

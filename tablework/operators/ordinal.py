@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.session import ensure_shared_dir
+from tablework.session import ensure_shared_dir, join_small
 
 _ID = "__rid"
 _PART = "__part"
@@ -48,6 +48,6 @@ def rank_within_groups(df: DataFrame, keys: list[str], value: Column, name: str
     order = [F.col(f"`{k}`").asc_nulls_last() for k in keys] + [value.asc_nulls_last()]
     idx = with_row_index(df, order, "__pos")
     firsts = idx.groupBy(*keys).agg(F.min("__pos").alias("__gfirst"), F.count(F.lit(1)).alias("group_rows"))
-    return (idx.join(firsts, on=keys, how="inner")
+    return (join_small(idx, firsts, keys)
                .withColumn(name, F.col("__pos") - F.col("__gfirst"))
                .drop("__pos", "__gfirst"))

@@ -150,16 +150,27 @@ def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) ->
     """Distinct non-null values per column, one aggregate."""
     if not columns:
         return {}
-    fn = F.approx_count_distinct if approx else F.count_distinct
+    fn = (lambda c: F.approx_count_distinct(c, 0.02)) if approx else F.count_distinct
     row = df.agg(*[fn(q(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"c{i}"] for i, c in enumerate(columns)}
 
 
 def pick_categorical(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx: bool = False) -> str | None:
     """First text column with ≤ ``max_distinct`` values; else the first text
-    column; else any column with ≤ ``max_distinct`` values."""
+    column; else any column with ≤ ``max_distinct`` values.
+
+    Exact by default, at sketch cost: one pass of HyperLogLog counts for all
+    candidates, then exact distinct counts only for the columns whose sketch
+    lands near the threshold (no multi-column ``Expand`` of every row)."""
     texts = text_columns(df)
-    counts = distinct_counts(df, texts if texts else df.columns, approx)
+    cands = texts if texts else df.columns
+    if not cands:
+        return None
+    sketch = distinct_counts(df, cands, approx=True)
+    counts = dict(sketch)
+    if not approx:
+        unsure = [c for c in cands if max_distinct * 0.7 <= sketch[c] <= max_distinct * 1.4]
+        counts.update(distinct_counts(df, unsure, approx=False))
     if texts:
         for c in texts:
             if counts[c] <= max_distinct:

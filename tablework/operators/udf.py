@@ -15,7 +15,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from tablework.session import join_small
 
 
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -31,7 +32,7 @@ def map_with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column
     """Rows plus ``stats`` of their group (named aggregates), then ``fn`` on
     Arrow batches.  No group is ever gathered in one task."""
     g = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return map_batches(df.join(g, on=keys, how="left"), fn, schema)
+    return map_batches(join_small(df, g, keys, "left"), fn, schema)
 
 
 def apply_in_pandas(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:

@@ -80,3 +80,20 @@ def local_fs_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return path if os.path.isabs(path) else os.path.abspath(path)
+
+
+# Largest side (rows) that is ever broadcast after its size was counted.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS):
+    """Join ``small`` to ``big``, broadcasting ``small`` only when a count
+    proves it holds at most ``max_rows`` rows.  Otherwise a shuffle join is
+    left to the planner (AQE splits skewed partitions).  The small side is
+    checkpointed to the shared folder first, so it is computed once."""
+    from pyspark.sql import functions as F
+    ensure_shared_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)  # computed once; count and join read the same rows
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on=on, how=how)

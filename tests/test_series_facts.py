@@ -82,3 +82,26 @@ def test_scalar_and_single_row_text(spark):
     assert N.scalar_fact(df, True).first()["text"] == "sum_sales is 1,500.00 (aggregated result)."
     wide = spark.createDataFrame([(1.0, "x", 0.5)], "a double, b string, c_share double")
     assert N.single_row_text(wide).first()["text"] == "a=1.00 | b=x | c_share=50.0%"
+
+
+def test_summary_cases(spark):
+    from tablework.operators.facts import summary_facts
+    empty = spark.createDataFrame([], "a double")
+    assert summary_facts(empty)[0] == "empty"
+    keys_only = spark.createDataFrame([("a",), ("b",)], "k string")
+    case, f = summary_facts(keys_only, {"is_aggregate": True, "group_by": ["k"]})
+    assert case == "groups_only" and f.first()["groups"] == 2
+    monthly = spark.createDataFrame([("2023-01", 1.0), ("2023-02", 2.0)], "month string, sum_sales double")
+    assert summary_facts(monthly, {"is_aggregate": True, "group_by": ["month"]}, "monthly sales trend")[0] == "trend"
+    assert summary_facts(monthly, {"is_aggregate": True, "group_by": ["month"]}, "top 1 month")[0] == "top_n"
+    assert summary_facts(monthly, {"is_aggregate": True, "group_by": ["month"]})[0] == "groups"
+    texts = spark.createDataFrame([("a", "b"), ("c", "d")], "x string, y string")
+    assert summary_facts(texts)[0] == "shape"
+    assert summary_facts(spark.createDataFrame([(1.0, 2.0)], "a double, b double"))[0] == "single_row"
+
+
+def test_heat_values_and_sampled_schema(spark):
+    from tablework.sources.scan import sample_schema
+    df = spark.range(100).selectExpr("id", "cast(id as double) * 2 AS v", "'x' AS s")
+    assert V.heat_values(df).count() == 10 and V.heat_values(df).columns == ["id", "v"]
+    assert sample_schema(df) == [("id", "bigint"), ("v", "double"), ("s", "string")]
