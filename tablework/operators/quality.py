@@ -54,8 +54,9 @@ def date_risk_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, T.StringType) and is_date_name(f.name)]
 
 
-def column_stats(df: DataFrame, approx: bool = False) -> ColumnStats:
-    """Pass 1: everything the checks need, in one aggregate."""
+def column_stats(df: DataFrame, approx: bool = False, with_quartiles: bool | None = True) -> ColumnStats:
+    """Pass 1: everything the checks need, in one aggregate (quartiles, when
+    asked, come from the bounded exact-quantile passes)."""
     nums = numeric_columns(df)
     dcols = date_risk_columns(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -67,7 +68,9 @@ def column_stats(df: DataFrame, approx: bool = False) -> ColumnStats:
     for i, c in enumerate(dcols):
         aggs.append(F.count_if(q(c).isNotNull() & parse_timestamp(q(c)).isNull()).alias(f"d{i}"))
     row = df.agg(*aggs).first()
-    qv = quartile_values(df, nums, (0.25, 0.75), approx)
+    # None: only when the table is large enough for the outlier check
+    want = with_quartiles if with_quartiles is not None else row["rows"] > OUTLIER_MIN_ROWS
+    qv = quartile_values(df, nums, (0.25, 0.75), approx) if want else {c: [None, None] for c in nums}
     return ColumnStats(
         rows=row["rows"],
         nulls={c: row[f"n{i}"] for i, c in enumerate(df.columns)},
@@ -118,7 +121,7 @@ def outlier_table(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def missing_table(df: DataFrame, stats: ColumnStats | None = None) -> DataFrame:
     """``column, null_count, missing_ratio, high_missing`` (ratio strictly above 0.8)."""
-    stats = stats or column_stats(df)
+    stats = stats or column_stats(df, with_quartiles=False)
     rows = []
     for c in df.columns:
         ratio = stats.nulls[c] / stats.rows if stats.rows else None
@@ -130,7 +133,7 @@ def missing_table(df: DataFrame, stats: ColumnStats | None = None) -> DataFrame:
 def preflight(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
     """(findings, one-row metrics).  An empty table is one error and stops."""
     spark: SparkSession = df.sparkSession
-    stats = column_stats(df, approx)
+    stats = column_stats(df, approx, with_quartiles=None)
     findings = []
     nums = numeric_columns(df)
     if stats.rows == 0:

@@ -3,18 +3,21 @@
 
 Spark's exact ``percentile`` keeps one counter per distinct value and merges
 all of them in one task for a global result, which does not hold for a
-high-cardinality column at scale.  Here:
-
-1. one aggregate: non-null count and an approximate quantile sketch
-   (``percentile_approx``, rank error ≤ n / ``accuracy``) at ``p ± 3/accuracy``
-   for every wanted ``p`` → a value bracket that must hold the wanted ranks;
-2. one aggregate: how many values fall below and inside each bracket; the
-   bracket is checked to hold the ranks (else it is widened to the whole
-   column, still exact);
-3. one scan emits only the in-bracket values (about ``6·n/accuracy`` per
-   quantile).  Their count is known from step 2: up to ``local_limit`` they
-   are brought to the driver, above it they are ranked on the cluster by
-   exact row positions (range sort, no single-partition window).
+high-cardinality column at scale.  Here, for every (column, p):
+
+1. one aggregate for all columns: non-null count and a ``percentile_approx``
+   sketch (rank error ≤ n / ``accuracy``) at ``p ± 3/accuracy`` → a value
+   bracket that must hold the wanted ranks;
+2. one aggregate counts the values below and inside every bracket and checks
+   that the bracket holds the ranks (a bracket that does not is widened to
+   the whole column — still exact, only slower);
+3. brackets still holding many rows are narrowed by another sketch over their
+   own rows (one aggregate per round, all cells together);
+4. one scan emits the in-bracket values, grouped by value with counts
+   (map-side combined).  A bracket spans about ``6·n/accuracy`` ranks, so it
+   holds at most that many distinct values however many ties it has.  Up to
+   ``local_limit`` (value, count) pairs are brought to the driver; above that
+   the cumulative counts are taken on the cluster, one window per bracket.
 
 The answer is always exact; only the work depends on the sketch.
 """
@@ -23,14 +26,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.operators.ordinal import rank_within_groups
 from tablework.operators.profile import clean_value
 
-DEFAULT_ACCURACY = 10000
+DEFAULT_ACCURACY = 2000
 LOCAL_LIMIT = 200_000
+MAX_REFINE_ROUNDS = 3
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -39,85 +42,141 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return lo, min(lo + 1, n - 1) if pos > lo else lo, pos - lo
 
 
+def _clamp(x: float) -> float:
+    return min(max(x, 0.0), 1.0)
+
+
+class _Cell:
+    __slots__ = ("col", "j", "n", "r_lo", "r_hi", "frac", "lo", "hi", "below", "within", "distinct_bound")
+
+    def __init__(self, col, j, n, p):
+        self.col, self.j, self.n = col, j, n
+        self.r_lo, self.r_hi, self.frac = _ranks(n, p)
+        self.lo = self.hi = None
+        self.below = self.within = None
+        self.distinct_bound = None
+
+    def holds(self, below, within) -> bool:
+        return below <= self.r_lo and self.r_hi < below + within
+
+
+def _in(v, cell):
+    return (v >= F.lit(cell.lo)) & (v <= F.lit(cell.hi))
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     accuracy: int = DEFAULT_ACCURACY, local_limit: int = LOCAL_LIMIT) -> dict:
     """``{column: [quantile for p in probs]}`` (None for an empty column)."""
+    out = {c: [None] * len(probs) for c in columns}
     if not columns:
-        return {}
+        return out
     vals = {c: clean_value(df, c).cast("double") for c in columns}
     eps = 3.0 / accuracy
-    edges = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
+    edges = sorted({_clamp(p + d) for p in probs for d in (-eps, eps)})
     pos = {e: i for i, e in enumerate(edges)}
+
+    # 1. counts, extremes and the sketch, one aggregate
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"),
                  F.percentile_approx(vals[c], F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"a{i}")]
     r1 = df.agg(*aggs).first()
-
-    # brackets per (column, prob)
-    cells = []  # (ci, pi, lo_value, hi_value, n)
+    cells: list[_Cell] = []
     for i, c in enumerate(columns):
         n = r1[f"n{i}"]
         if not n:
             continue
-        sketch = r1[f"a{i}"]
         for j, p in enumerate(probs):
-            lo_v = sketch[pos[min(max(p - eps, 0.0), 1.0)]]
-            hi_v = sketch[pos[min(max(p + eps, 0.0), 1.0)]]
-            cells.append([i, j, lo_v, hi_v, n])
+            cell = _Cell(c, j, n, p)
+            cell.lo, cell.hi = r1[f"a{i}"][pos[_clamp(p - eps)]], r1[f"a{i}"][pos[_clamp(p + eps)]]
+            cells.append(cell)
     if not cells:
-        return {c: [None] * len(probs) for c in columns}
+        return out
 
-    def counts(cs):
+    def count(cs):
         ag = []
-        for k, (i, j, lo_v, hi_v, _) in enumerate(cs):
-            v = vals[columns[i]]
-            ag += [F.count_if(v < F.lit(lo_v)).alias(f"b{k}"),
-                   F.count_if((v >= F.lit(lo_v)) & (v <= F.lit(hi_v))).alias(f"w{k}")]
+        for k, cell in enumerate(cs):
+            v = vals[cell.col]
+            ag += [F.count_if(v < F.lit(cell.lo)).alias(f"b{k}"), F.count_if(_in(v, cell)).alias(f"w{k}")]
         r = df.agg(*ag).first()
         return [(r[f"b{k}"], r[f"w{k}"]) for k in range(len(cs))]
 
-    # step 2: check every bracket holds its ranks; widen the ones that do not
-    bw = counts(cells)
-    for k, (i, j, lo_v, hi_v, n) in enumerate(cells):
-        r_lo, r_hi, _ = _ranks(n, probs[j])
-        below, within = bw[k]
-        if not (below <= r_lo and r_hi < below + within):
-            cells[k][2], cells[k][3] = r1[f"mn{i}"], r1[f"mx{i}"]
-            bw[k] = (0, n)
-
-    # step 3: the in-bracket values only, one scan
-    tagged = []
-    for k, (i, j, lo_v, hi_v, _) in enumerate(cells):
-        v = vals[columns[i]]
-        tagged.append(F.when((v >= F.lit(lo_v)) & (v <= F.lit(hi_v)),
-                             F.struct(F.lit(k).alias("cell"), v.alias("v"))))
-    cand = df.select(F.explode(F.array_compact(F.array(*tagged))).alias("t")).select("t.cell", "t.v")
-    total = sum(w for _, w in bw)
+    # 2. check the brackets
+    for cell, (b, w) in zip(cells, count(cells)):
+        if cell.holds(b, w):
+            cell.below, cell.within = b, w
+            # a sketch bracket spans at most ~8·n/accuracy ranks, so it holds
+            # at most that many distinct values, ties or not
+            cell.distinct_bound = min(w, 8 * cell.n // accuracy + 4)
+        else:
+            i = columns.index(cell.col)
+            cell.lo, cell.hi, cell.below, cell.within = r1[f"mn{i}"], r1[f"mx{i}"], 0, cell.n
+            cell.distinct_bound = cell.n
+
+    # 3. narrow brackets that still hold many rows (ties cannot be narrowed
+    #    and need not be: they collapse to one (value, count) pair)
+    per_cell = max(local_limit // len(cells), 1000)
+    for _ in range(MAX_REFINE_ROUNDS):
+        wide = [c for c in cells if c.distinct_bound > per_cell and c.lo != c.hi]
+        if not wide:
+            break
+        ag = []
+        for k, cell in enumerate(wide):
+            v = vals[cell.col]
+            q_lo = _clamp((cell.r_lo - cell.below) / cell.within - eps)
+            q_hi = _clamp((cell.r_hi - cell.below + 1) / cell.within + eps)
+            ag.append(F.percentile_approx(F.when(_in(v, cell), v), F.array(F.lit(q_lo), F.lit(q_hi)), accuracy)
+                      .alias(f"s{k}"))
+        r = df.agg(*ag).first()
+        trial = []
+        for k, cell in enumerate(wide):
+            nc = _Cell(cell.col, cell.j, cell.n, probs[cell.j])
+            nc.lo, nc.hi = r[f"s{k}"][0], r[f"s{k}"][1]
+            trial.append((cell, nc))
+        moved = False
+        for (cell, nc), (b, w) in zip(trial, count([nc for _, nc in trial])):
+            if nc.holds(b, w) and w < cell.within:
+                span = 8 * cell.within // accuracy + 4
+                cell.lo, cell.hi, cell.below, cell.within = nc.lo, nc.hi, b, w
+                cell.distinct_bound = min(w, span)
+                moved = True
+        if not moved:
+            break
+
+    # 4. in-bracket values grouped by value, one scan
+    tagged = [F.when(_in(vals[cell.col], cell), F.struct(F.lit(k).alias("cell"), vals[cell.col].alias("v")))
+              for k, cell in enumerate(cells)]
+    grouped = (df.select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
+                 .groupBy(F.col("t.cell").alias("cell"), F.col("t.v").alias("v"))
+                 .agg(F.count(F.lit(1)).alias("cnt")))
+    wanted = {}
+    for k, cell in enumerate(cells):
+        wanted[k] = (cell.r_lo - cell.below, cell.r_hi - cell.below)
     picked: dict[int, dict[int, float]] = {}
-    if total <= local_limit:
-        by_cell: dict[int, list[float]] = {}
-        for row in cand.collect():
-            by_cell.setdefault(row["cell"], []).append(row["v"])
-        for k, (i, j, _, _, n) in enumerate(cells):
-            xs = sorted(by_cell.get(k, []))
-            r_lo, r_hi, _ = _ranks(n, probs[j])
-            below = bw[k][0]
-            picked[k] = {r_lo: xs[r_lo - below], r_hi: xs[r_hi - below]}
+    bound = sum(c.distinct_bound for c in cells)
+    if bound <= local_limit:
+        by_cell: dict[int, list] = {}
+        for row in grouped.collect():
+            by_cell.setdefault(row["cell"], []).append((row["v"], row["cnt"]))
+        for k, pairs in by_cell.items():
+            pairs.sort()
+            seen, want = 0, wanted[k]
+            for v, cnt in pairs:
+                for w in want:
+                    if seen <= w < seen + cnt:
+                        picked.setdefault(k, {})[w] = v
+                seen += cnt
     else:
-        ranked = rank_within_groups(cand, ["cell"], F.col("v"), "pos")
-        wanted = []
-        for k, (i, j, _, _, n) in enumerate(cells):
-            r_lo, r_hi, _ = _ranks(n, probs[j])
-            below = bw[k][0]
-            wanted += [(k, r_lo - below, r_lo), (k, r_hi - below, r_hi)]
-        want = df.sparkSession.createDataFrame(wanted, "cell int, pos long, rank long")
-        for row in ranked.join(want, ["cell", "pos"]).select("cell", "rank", "v").collect():
-            picked.setdefault(row["cell"], {})[row["rank"]] = row["v"]
-
-    out = {c: [None] * len(probs) for c in columns}
-    for k, (i, j, _, _, n) in enumerate(cells):
-        r_lo, r_hi, frac = _ranks(n, probs[j])
-        a, b = picked[k][r_lo], picked[k][r_hi]
-        out[columns[i]][j] = a + frac * (b - a) if frac else a
+        w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        cum = grouped.withColumn("upto", F.sum("cnt").over(w))
+        want_df = df.sparkSession.createDataFrame(
+            [(k, x) for k, ws in wanted.items() for x in set(ws)], "cell int, want long")
+        hits = (cum.join(F.broadcast(want_df), "cell")
+                   .where((F.col("want") >= F.col("upto") - F.col("cnt")) & (F.col("want") < F.col("upto"))))
+        for row in hits.select("cell", "want", "v").collect():
+            picked.setdefault(row["cell"], {})[row["want"]] = row["v"]
+
+    for k, cell in enumerate(cells):
+        a, b = picked[k][wanted[k][0]], picked[k][wanted[k][1]]
+        out[cell.col][cell.j] = a + cell.frac * (b - a) if cell.frac else a
     return out
