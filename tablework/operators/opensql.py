@@ -41,8 +41,27 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+ASOF_TARGET_CELL_ROWS = 1_000_000
+
+
+def auto_bucket_seconds(left: DataFrame, right: DataFrame, by: list[str], on: str,
+                        target_rows: int = ASOF_TARGET_CELL_ROWS) -> int:
+    """Bucket width that keeps the hottest key's cells near ``target_rows``
+    rows: one aggregate over both sides (rows per key, time span)."""
+    both = left.select(*by, on).unionByName(right.select(*by, on))
+    per_key = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                    F.min(on).alias("t0"), F.max(on).alias("t1"))
+    r = per_key.agg(F.max("n").alias("hot"),
+                    F.max(F.unix_micros(F.col("t1").cast("timestamp")) -
+                          F.unix_micros(F.col("t0").cast("timestamp"))).alias("span")).first()
+    if not r["hot"] or not r["span"]:
+        return 86400
+    cells = max(1, -(-r["hot"] // target_rows))
+    return max(1, int(r["span"] / 1_000_000 / cells))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
-              right_cols: list[str], bucket_seconds: int | None = 86400,
+              right_cols: list[str], bucket_seconds: int | str | None = "auto",
               prefix: str = "asof_") -> DataFrame:
     """For every left row, the right row of the same ``by`` key with the
     greatest ``on`` ≤ the left row's ``on`` (left rows without one keep
@@ -54,8 +73,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
     cell's rows only; the value carried in from earlier buckets comes from
     a window over one aggregated row per cell, so a key holding a third of
     all rows is still spread over many tasks.  ``bucket_seconds=None``
-    partitions by key alone (fine when no key is hot).
+    partitions by key alone (fine when no key is hot); ``"auto"`` sizes the
+    buckets from the hottest key (``auto_bucket_seconds``).
     """
+    if bucket_seconds == "auto":
+        bucket_seconds = auto_bucket_seconds(left, right, by, on)
     rstruct = F.struct(_q(on).alias("t"), *[_q(c).alias(f"c{i}") for i, c in enumerate(right_cols)])
     L = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(right.select(rstruct.alias("s")).schema["s"].dataType))
     R = right.select(*[_q(k) for k in by], _q(on), F.lit(0).alias("__side"), rstruct.alias("__r"))

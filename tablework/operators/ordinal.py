@@ -45,7 +45,10 @@ def with_row_index(df: DataFrame, order: list[Column], name: str = "row_index")
 def rank_within_groups(df: DataFrame, keys: list[str], value: Column, name: str = "rank") -> DataFrame:
     """0-based position of each row inside its group, ordered by ``value``
     (nulls last); adds ``<name>`` and the group size ``group_rows``."""
-    order = [F.col(f"`{k}`").asc_nulls_last() for k in keys] + [value.asc_nulls_last()]
+    # a row hash breaks ties, so a long run of equal values is still cut
+    # across range partitions (only the value at a position matters)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    order = [F.col(f"`{k}`").asc_nulls_last() for k in keys] + [value.asc_nulls_last(), tie.asc()]
     idx = with_row_index(df, order, "__pos")
     firsts = idx.groupBy(*keys).agg(F.min("__pos").alias("__gfirst"), F.count(F.lit(1)).alias("group_rows"))
     return (join_small(idx, firsts, keys)

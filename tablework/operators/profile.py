@@ -92,16 +92,20 @@ def quartile_values(df: DataFrame, cols: list[str], probs=QUARTILES, approx: boo
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, 25/50/75 %, max per numeric column: one
-    aggregate for the moments and extremes, plus the quartile passes."""
+    """count, mean, std, min, 25/50/75 %, max per numeric column.  The
+    moments and extremes ride in the first quantile pass."""
     cols = columns if columns is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         v = clean_value(df, c).cast("double")
         aggs += [F.count(v).alias(f"{i}__count"), F.avg(v).alias(f"{i}__mean"),
                  F.stddev_samp(v).alias(f"{i}__std"), F.min(v).alias(f"{i}__min"), F.max(v).alias(f"{i}__max")]
-    row = df.agg(*aggs).first()
-    qs = quartile_values(df, cols, QUARTILES, approx)
+    if approx:
+        row = df.agg(*aggs).first()
+        qs = quartile_values(df, cols, QUARTILES, True)
+    else:
+        from tablework.operators.quantiles import exact_quantiles
+        qs, row = exact_quantiles(df, cols, list(QUARTILES), extra_aggs=aggs)
     rows = [(c, int(row[f"{i}__count"]), row[f"{i}__mean"], row[f"{i}__std"], row[f"{i}__min"],
              qs[c][0], qs[c][1], qs[c][2], row[f"{i}__max"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(

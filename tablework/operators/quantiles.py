@@ -65,10 +65,16 @@ def _in(v, cell):
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY, local_limit: int = LOCAL_LIMIT) -> dict:
-    """``{column: [quantile for p in probs]}`` (None for an empty column)."""
+                    accuracy: int = DEFAULT_ACCURACY, local_limit: int = LOCAL_LIMIT,
+                    extra_aggs: list | None = None):
+    """``{column: [quantile for p in probs]}`` (None for an empty column).
+
+    ``extra_aggs`` are computed in the same first pass; when given, the
+    result is ``(quantiles, first_pass_row)``."""
     out = {c: [None] * len(probs) for c in columns}
     if not columns:
+        if extra_aggs:
+            return out, df.agg(*extra_aggs).first()
         return out
     vals = {c: clean_value(df, c).cast("double") for c in columns}
     eps = 3.0 / accuracy
@@ -80,7 +86,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     for i, c in enumerate(columns):
         aggs += [F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"),
                  F.percentile_approx(vals[c], F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"a{i}")]
-    r1 = df.agg(*aggs).first()
+    r1 = df.agg(*aggs, *(extra_aggs or [])).first()
+
+    def done(result):
+        return (result, r1) if extra_aggs else result
     cells: list[_Cell] = []
     for i, c in enumerate(columns):
         n = r1[f"n{i}"]
@@ -91,7 +100,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             cell.lo, cell.hi = r1[f"a{i}"][pos[_clamp(p - eps)]], r1[f"a{i}"][pos[_clamp(p + eps)]]
             cells.append(cell)
     if not cells:
-        return out
+        return done(out)
 
     def count(cs):
         ag = []
@@ -143,17 +152,31 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not moved:
             break
 
-    # 4. in-bracket values grouped by value, one scan
-    tagged = [F.when(_in(vals[cell.col], cell), F.struct(F.lit(k).alias("cell"), vals[cell.col].alias("v")))
-              for k, cell in enumerate(cells)]
-    grouped = (df.select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
-                 .groupBy(F.col("t.cell").alias("cell"), F.col("t.v").alias("v"))
-                 .agg(F.count(F.lit(1)).alias("cnt")))
+    # 4. a checked bracket with equal ends is the answer (ties); the others
+    #    emit their in-bracket values grouped by value, in one scan of the
+    #    rows that fall in some bracket
     wanted = {}
     for k, cell in enumerate(cells):
         wanted[k] = (cell.r_lo - cell.below, cell.r_hi - cell.below)
     picked: dict[int, dict[int, float]] = {}
-    bound = sum(c.distinct_bound for c in cells)
+    open_cells = []
+    for k, cell in enumerate(cells):
+        if cell.lo == cell.hi:
+            picked[k] = {w: cell.lo for w in wanted[k]}
+        else:
+            open_cells.append(k)
+    if not open_cells:
+        return done(_finish(out, cells, wanted, picked))
+    conds = [_in(vals[cells[k].col], cells[k]) for k in open_cells]
+    any_in = conds[0]
+    for c in conds[1:]:
+        any_in = any_in | c
+    tagged = [F.when(cond, F.struct(F.lit(k).alias("cell"), vals[cells[k].col].alias("v")))
+              for k, cond in zip(open_cells, conds)]
+    grouped = (df.where(any_in).select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
+                 .groupBy(F.col("t.cell").alias("cell"), F.col("t.v").alias("v"))
+                 .agg(F.count(F.lit(1)).alias("cnt")))
+    bound = sum(cells[k].distinct_bound for k in open_cells)
     if bound <= local_limit:
         by_cell: dict[int, list] = {}
         for row in grouped.collect():
@@ -170,12 +193,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         cum = grouped.withColumn("upto", F.sum("cnt").over(w))
         want_df = df.sparkSession.createDataFrame(
-            [(k, x) for k, ws in wanted.items() for x in set(ws)], "cell int, want long")
+            [(k, x) for k in open_cells for x in set(wanted[k])], "cell int, want long")
         hits = (cum.join(F.broadcast(want_df), "cell")
                    .where((F.col("want") >= F.col("upto") - F.col("cnt")) & (F.col("want") < F.col("upto"))))
         for row in hits.select("cell", "want", "v").collect():
             picked.setdefault(row["cell"], {})[row["want"]] = row["v"]
 
+    return done(_finish(out, cells, wanted, picked))
+
+
+def _finish(out, cells, wanted, picked):
     for k, cell in enumerate(cells):
         a, b = picked[k][wanted[k][0]], picked[k][wanted[k][1]]
         out[cell.col][cell.j] = a + cell.frac * (b - a) if cell.frac else a

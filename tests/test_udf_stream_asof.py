@@ -46,7 +46,7 @@ def _brute_asof(left, right):
     return out
 
 
-@pytest.mark.parametrize("bucket", [None, 3600, 60])
+@pytest.mark.parametrize("bucket", [None, 3600, 60, "auto"])
 def test_asof_join_matches_brute_force(spark, bucket):
     rnd = random.Random(3)
     t0 = dt.datetime(2024, 1, 1)
