@@ -201,8 +201,3 @@ def categorical_table(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx:
     first_small = long.where(small).agg(F.min("ordinal")).scalar()
     pick = F.coalesce(first_small, F.lit(0) if texts else F.lit(-1))
     return long.withColumn("picked", F.col("ordinal") == pick)
-
-
-def looks_aggregate_column(text: Column) -> Column:
-    from tablework.functions.metrics import looks_aggregate
-    return looks_aggregate(text)

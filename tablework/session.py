@@ -7,7 +7,6 @@ are split, and scan splits are sized so one task reads a bounded slice.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files of frames that are gone are deleted by the cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -73,15 +74,6 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "tablework", *parts, uuid.uuid4().hex[:12]])
 
 
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme so local helpers can list the folder."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path if os.path.isabs(path) else os.path.abspath(path)
-
-
 # Largest side (rows) that is ever broadcast after its size was counted.
 BROADCAST_MAX_ROWS = 2_000_000
 

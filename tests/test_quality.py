@@ -1,4 +1,3 @@
-import pytest
 
 from tablework.operators import quality as Q
 from tablework.operators.profile import describe_numeric, null_counts
