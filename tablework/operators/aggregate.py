@@ -146,3 +146,28 @@ def aggregate_dict(df: DataFrame, group_by: list[str], spec: dict) -> DataFrame:
     """``groupby().agg({col: fn})`` form; names as Spark gives them
     (``sum(x)``), as in notebooks."""
     return df.groupBy(*group_by).agg(spec)
+
+
+@dataclass
+class AggReport:
+    """An aggregate with the facts derived from it (all lazy DataFrames)."""
+    result: AggResult
+    topk: DataFrame
+    bottomk: DataFrame
+    extrema: DataFrame
+    computed_values: DataFrame
+
+
+def aggregate_report(df: DataFrame, group_by: list[str] | None, metrics: list[str], k: int = 5) -> AggReport:
+    """``aggregate`` plus top-k, bottom-k, extrema of every numeric metric and
+    the grounding statistics of the result.  Nothing runs until a frame is
+    used; the aggregate's shuffle output is shared by the derived plans."""
+    from tablework.operators.profile import computed_values
+    res = aggregate(df, group_by, metrics)
+    if res.metrics:
+        tk, bk = top_k(res.df, res.group_by, res.metrics, k), bottom_k(res.df, res.group_by, res.metrics, k)
+        ex = extrema(res.df, res.group_by, res.metrics)
+    else:
+        empty = df.sparkSession.createDataFrame([], "metric string, value double")
+        tk = bk = ex = empty
+    return AggReport(res, tk, bk, ex, computed_values(res.df))

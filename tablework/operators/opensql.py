@@ -24,6 +24,14 @@ class SqlResult:
     is_aggregate: bool
     sources: dict = field(default_factory=dict)
 
+    def computed_values(self) -> DataFrame:
+        """Row count and mean/sum/min/max of every numeric result column."""
+        from tablework.operators.profile import computed_values
+        return computed_values(self.df)
+
+    def preview(self, n: int = 5) -> DataFrame:
+        return self.df.limit(n)
+
 
 def looks_aggregate_text(sql: str) -> bool:
     import re

@@ -77,3 +77,19 @@ def test_topk_plan_has_no_global_sort(spark, sf):
     df = A.top_k(res.df, res.group_by, res.metrics, 5)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_aggregate_report(ties):
+    rep = A.aggregate_report(ties, ["k"], ["sum(v)", "count(*)"], k=2)
+    assert rep.result.metadata["metrics"] == ["sum_v", "count_all"]
+    assert rep.topk.where("metric = 'sum_v'").orderBy("rank").first()["k"] == "b"
+    cv = {r["name"]: r["value"] for r in rep.computed_values.collect()}
+    assert cv["result_count"] == 5.0 and cv["sum_v_max"] == 3.0
+
+
+def test_run_sql_computed_values(spark):
+    from tablework.operators.opensql import run_sql
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "k int, v double")
+    res = run_sql(spark, "SELECT k, v FROM t", {"t": df})
+    cv = {r["name"]: r["value"] for r in res.computed_values().collect()}
+    assert cv["v_mean"] == 3.0 and res.preview(1).count() == 1

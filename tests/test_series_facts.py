@@ -105,3 +105,9 @@ def test_heat_values_and_sampled_schema(spark):
     df = spark.range(100).selectExpr("id", "cast(id as double) * 2 AS v", "'x' AS s")
     assert V.heat_values(df).count() == 10 and V.heat_values(df).columns == ["id", "v"]
     assert sample_schema(df) == [("id", "bigint"), ("v", "double"), ("s", "string")]
+
+
+def test_topn_smallest_first(spark):
+    df = spark.createDataFrame([("a", 10.0), ("b", 30.0), ("c", 60.0)], "k string, total double")
+    rows = N.topn_facts(df, ["k"], "total", 2, smallest_first=True).orderBy("rank").collect()
+    assert [r["label"] for r in rows] == ["a", "b"]
