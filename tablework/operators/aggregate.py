@@ -37,17 +37,60 @@ def _key(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str]) -> AggResult:
-    """Keys then metrics; null keys kept; ascending by the first key, nulls last."""
+# Largest group (rows) whose median may use Spark's built-in exact
+# ``median``: its per-group value map is merged in one task.
+MEDIAN_IN_TASK_ROWS = 1_000_000
+
+
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    if not keys:
+        return df.agg(F.count(F.lit(1))).first()[0]
+    return df.groupBy(*[_key(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str],
+              exact_median: bool | None = None) -> AggResult:
+    """Keys then metrics; null keys kept; ascending by the first key, nulls last.
+
+    Plain ``median(col)`` metrics: Spark's exact ``median`` merges a group's
+    whole value map in one task, so it is used only when one aggregate shows
+    no group exceeds ``MEDIAN_IN_TASK_ROWS`` rows (or ``exact_median=False``).
+    Otherwise (or with ``exact_median=True``) the median comes from exact
+    positions (``ordinal.grouped_quantiles``; globally the bounded
+    ``quantiles.exact_quantiles``), which cut any group across tasks."""
     keys = [g.strip() for g in (group_by or [])]
     for g in keys:
         if g not in df.columns:
             raise AggregateError(f"Group-by column not found in data: {g}")
     parsed: list[Metric] = parse_metrics(metrics, df)
-    cols = [m.column for m in parsed]
+    med = [m for m in parsed if exact_median is not False and m.source_column
+           and m.text.strip().lower().startswith("median")]
+    if med and exact_median is None and _largest_group(df, keys) <= MEDIAN_IN_TASK_ROWS:
+        med = []
+    rest = [m for m in parsed if m not in med]
     if keys:
-        out = df.groupBy(*[_key(k) for k in keys]).agg(*cols).orderBy(_key(keys[0]).asc_nulls_last())
+        kcols = [_key(k) for k in keys]
+        if rest:
+            out = df.groupBy(*kcols).agg(*[m.column for m in rest])
+        else:
+            out = df.select(*kcols).distinct()
+        if med:
+            from tablework.operators.ordinal import grouped_quantiles
+            for m in med:
+                q = grouped_quantiles(df, keys, _key(m.source_column), [0.5], [m.alias])
+                cond = [out[k].eqNullSafe(q[k]) for k in keys]
+                out = out.join(q, on=cond, how="left").select(*[out[k] for k in keys],
+                                                              *[c for c in out.columns if c not in keys],
+                                                              q[m.alias])
+        out = out.select(*kcols, *[_key(m.alias) for m in parsed]).orderBy(_key(keys[0]).asc_nulls_last())
     else:
+        if med:
+            from tablework.operators.quantiles import exact_quantiles
+            from tablework.operators.profile import clean_value
+            qs = exact_quantiles(df.select(*[clean_value(df, m.source_column).alias(m.source_column) for m in med]),
+                                 [m.source_column for m in med], [0.5])
+        cols = [F.lit(qs[m.source_column][0]).cast("double").alias(m.alias) if m in med else m.column
+                for m in parsed]
         out = df.agg(*cols)
     aliases = [m.alias for m in parsed]
     numeric = [f.name for f in out.schema.fields

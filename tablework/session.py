@@ -78,7 +78,8 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS):
+def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS,
+               null_safe: bool = False):
     """Join ``small`` to ``big``, broadcasting ``small`` only when a count
     proves it holds at most ``max_rows`` rows.  Otherwise a shuffle join is
     left to the planner (AQE splits skewed partitions).  The small side is
@@ -88,4 +89,11 @@ def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX
     small = small.checkpoint(eager=True)  # computed once; count and join read the same rows
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on=on, how=how)
+    if not null_safe:
+        return big.join(side, on=on, how=how)
+    # keys compared with <=>, so null keys find their group too
+    b, s = big.alias("__big"), side.alias("__small")
+    cond = [F.col(f"__big.`{k}`").eqNullSafe(F.col(f"__small.`{k}`")) for k in on]
+    rest = [c for c in small.columns if c not in on]
+    return b.join(s, on=cond, how=how).select(*[F.col(f"__big.`{c}`") for c in big.columns],
+                                              *[F.col(f"__small.`{c}`") for c in rest])

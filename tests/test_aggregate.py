@@ -93,3 +93,17 @@ def test_run_sql_computed_values(spark):
     res = run_sql(spark, "SELECT k, v FROM t", {"t": df})
     cv = {r["name"]: r["value"] for r in res.computed_values().collect()}
     assert cv["v_mean"] == 3.0 and res.preview(1).count() == 1
+
+
+def test_exact_grouped_median_matches_builtin(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(None if i % 17 == 0 else ("hot" if i % 3 else f"g{i % 5}"), float(rnd.randint(0, 50)) if i % 11 else None)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double").union(spark.createDataFrame([("allnull", None)], "k string, v double"))
+    mine = {r["k"]: r["median_v"] for r in A.aggregate(df, ["k"], ["median(v)", "count(*)"], exact_median=True).df.collect()}
+    theirs = {r["k"]: r["median_v"] for r in A.aggregate(df, ["k"], ["median(v)", "count(*)"], exact_median=False).df.collect()}
+    assert mine == theirs and mine["allnull"] is None
+    g1 = A.aggregate(df, [], ["median(v)"], exact_median=True).df.first()[0]
+    g2 = A.aggregate(df, [], ["median(v)"], exact_median=False).df.first()[0]
+    assert g1 == g2
