@@ -87,7 +87,13 @@ def quartile_values(df: DataFrame, cols: list[str], probs=QUARTILES, approx: boo
                        for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    from tablework.operators.quantiles import exact_quantiles
+    from tablework.operators.quantiles import IN_TASK_ROWS, exact_quantiles
+    if cols and df.count() <= IN_TASK_ROWS:
+        # proven small: one value map per column fits one task
+        row = df.agg(*[quantiles(clean_value(df, c), probs, False).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
     return exact_quantiles(df, cols, list(probs))
 
 
@@ -100,11 +106,12 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, approx: bo
         v = clean_value(df, c).cast("double")
         aggs += [F.count(v).alias(f"{i}__count"), F.avg(v).alias(f"{i}__mean"),
                  F.stddev_samp(v).alias(f"{i}__std"), F.min(v).alias(f"{i}__min"), F.max(v).alias(f"{i}__max")]
-    if approx:
-        row = df.agg(*aggs).first()
-        qs = quartile_values(df, cols, QUARTILES, True)
+    from tablework.operators.quantiles import IN_TASK_ROWS, exact_quantiles
+    if approx or df.count() <= IN_TASK_ROWS:
+        qa = [quantiles(clean_value(df, c), QUARTILES, approx).alias(f"{i}__q") for i, c in enumerate(cols)]
+        row = df.agg(*aggs, *qa).first()
+        qs = {c: (list(row[f"{i}__q"]) if row[f"{i}__q"] is not None else [None] * 3) for i, c in enumerate(cols)}
     else:
-        from tablework.operators.quantiles import exact_quantiles
         qs, row = exact_quantiles(df, cols, list(QUARTILES), extra_aggs=aggs)
     rows = [(c, int(row[f"{i}__count"]), row[f"{i}__mean"], row[f"{i}__std"], row[f"{i}__min"],
              qs[c][0], qs[c][1], qs[c][2], row[f"{i}__max"]) for i, c in enumerate(cols)]

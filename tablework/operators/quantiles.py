@@ -34,6 +34,9 @@ from tablework.operators.profile import clean_value
 DEFAULT_ACCURACY = 2000
 LOCAL_LIMIT = 200_000
 MAX_REFINE_ROUNDS = 3
+# Callers may use Spark's exact ``percentile`` (one value map per column,
+# merged in one task) when a count shows at most this many rows.
+IN_TASK_ROWS = 1_000_000
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
