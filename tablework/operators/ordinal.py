@@ -42,14 +42,21 @@ def with_row_index(df: DataFrame, order: list[Column], name: str = "row_index")
                .drop(_ID, _PART, "__first", "__off"))
 
 
+def rank_order(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, list[Column]]:
+    """The frame tagged with a row identity, and the sort order (keys,
+    value, identity) used for exact ranks.  The identity breaks ties even
+    between identical rows, so a long run of equal values in a hot group is
+    still cut across range partitions (only the value at a position matters)."""
+    tagged = df.withColumn("__tie", F.monotonically_increasing_id())
+    order = [F.col(f"`{k}`").asc_nulls_last() for k in keys] + [value.asc_nulls_last(), F.col("__tie").asc()]
+    return tagged, order
+
+
 def rank_within_groups(df: DataFrame, keys: list[str], value: Column, name: str = "rank") -> DataFrame:
     """0-based position of each row inside its group, ordered by ``value``
     (nulls last); adds ``<name>`` and the group size ``group_rows``."""
-    # a row hash breaks ties, so a long run of equal values is still cut
-    # across range partitions (only the value at a position matters)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    order = [F.col(f"`{k}`").asc_nulls_last() for k in keys] + [value.asc_nulls_last(), tie.asc()]
-    idx = with_row_index(df, order, "__pos")
+    tagged, order = rank_order(df, keys, value)
+    idx = with_row_index(tagged, order, "__pos").drop("__tie")
     firsts = idx.groupBy(*keys).agg(F.min("__pos").alias("__gfirst"), F.count(F.lit(1)).alias("group_rows"))
     return (join_small(idx, firsts, keys, null_safe=True)
                .withColumn(name, F.col("__pos") - F.col("__gfirst"))

@@ -36,3 +36,24 @@ def test_rank_within_hot_group(spark):
     ranked = rank_within_groups(df, ["g"], F.col("v"), "r").where("g = 99").select("r", "v").collect()
     vs = sorted(r["v"] for r in ranked)
     assert {r["v"]: r["r"] for r in ranked} == {v: i for i, v in enumerate(vs)}
+
+
+def test_hot_tied_group_spreads_over_partitions(spark):
+    # one key holds a third of the rows and all its values tie; the range
+    # sort used for exact ranks must still cut it across partitions
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise((F.col("id") % 101).cast("double")).alias("v"))
+    from tablework.operators.ordinal import rank_order
+    tagged, order = rank_order(df, ["g"], F.col("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with_tie = tagged.orderBy(*order).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        without = df.orderBy("g", "v").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    biggest_with = max(r["count"] for r in with_tie)
+    biggest_without = max(r["count"] for r in without)
+    assert biggest_without >= n // 3          # ties alone cannot be split
+    assert biggest_with < n // 3 and biggest_with <= 3 * n / len(with_tie)
