@@ -38,8 +38,9 @@ def line_index_series(df: DataFrame, order_by: list[str], y: str | None = None)
     y = y or first_numeric(df)
     if y is None:
         raise ValueError("No numeric columns to plot")
-    idx = with_row_index(df.select(*[q(c) for c in dict.fromkeys(order_by + [y])]),
-                         [q(c).asc_nulls_last() for c in order_by], "index")
+    # row identity last: equal order keys still spread over range partitions
+    base = df.select(*[q(c) for c in dict.fromkeys(order_by + [y])]).withColumn("__tie", F.monotonically_increasing_id())
+    idx = with_row_index(base, [q(c).asc_nulls_last() for c in order_by] + [F.col("__tie").asc()], "index")
     return idx.select("index", q(y))
 
 
