@@ -68,14 +68,21 @@ def _mentions(word: str) -> Column:
     return _has("columns", word) | F.coalesce(F.lower(F.col("query")).contains(word), F.lit(False))
 
 
-def best_result(steps: DataFrame) -> DataFrame:
-    """Per run, the step whose result feeds the summary: the last grouped
-    aggregate, else the last aggregate, else the last step with rows."""
+def best_result(steps: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Per run, the step whose result feeds the summary: for a percent or
+    share question the last step with a percent column, else the last
+    grouped aggregate, else the last aggregate, else the last step with rows.
+    ``questions`` holds ``run_id, question``."""
     is_agg = F.col("action") == "aggregate"
     prio = (F.when(is_agg & (F.size("group_by") > 0), 3)
              .when(is_agg, 2)
              .when(F.col("result_count") > 0, 1)
              .otherwise(0))
+    if questions is not None:
+        steps = steps.join(questions.select("run_id", "question"), "run_id", "left")
+        pct_question = F.lower(F.coalesce(F.col("question"), F.lit(""))).rlike("percentage|percent|share")
+        pct_column = F.exists(F.col("columns"), lambda c: F.lower(c).contains("percent"))
+        prio = F.when(pct_question & pct_column, 4).otherwise(prio)
     best = (steps.where(prio > 0)
                  .groupBy("run_id").agg(F.max(F.struct(prio.alias("priority"), F.col("step_id"))).alias("b")))
     return best.select("run_id", F.col("b.step_id").alias("step_id"), F.col("b.priority").alias("priority"))
@@ -168,3 +175,51 @@ def list_run_artifacts(spark, runs_dir: str) -> DataFrame:
     rel = F.regexp_extract(F.col("path"), r"^.*?" + base.split(":")[-1].replace(".", r"\.") + r"/(.*)$", 1)
     return df.select(F.regexp_extract(rel, r"^([^/]+)/", 1).alias("run_id"),
                      F.regexp_extract(rel, r"^[^/]+/(.*)$", 1).alias("name"), "length")
+
+
+# A summary shorter than this (after trimming) is flagged.
+SHORT_SUMMARY_CHARS = 50
+
+
+def artifact_facts(spark, runs_dir: str) -> DataFrame:
+    """One row per run directory: which artifacts exist, chart count, and
+    the trimmed length of ``summary.md`` (the only file whose content is
+    read; summaries are small)."""
+    listing = list_run_artifacts(spark, runs_dir)
+    facts = listing.groupBy("run_id").agg(
+        *[F.bool_or((F.col("name") == n) & (F.col("length") >= 0)).alias(f"has_{n.split('.')[0]}")
+          for n in REQUIRED_ARTIFACTS],
+        *[F.bool_or((F.col("name") == n) & (F.col("length") > 0)).alias(f"filled_{n.split('.')[0]}")
+          for n in REQUIRED_ARTIFACTS],
+        F.count_if(F.col("name").rlike(r"^charts/[^/]+\.png$")).alias("charts"))
+    summaries = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                      .option("pathGlobFilter", "summary.md").load(runs_dir)
+                      .select(F.regexp_extract("path", r"([^/]+)/summary\.md$", 1).alias("run_id"),
+                              F.length(F.trim(F.decode("content", "UTF-8"))).alias("summary_chars")))
+    return facts.join(summaries, "run_id", "left")
+
+
+def postflight(facts: DataFrame) -> DataFrame:
+    """Findings ``run_id, severity, message`` per run: missing required
+    files and charts are errors, a short summary is a warning."""
+    checks = [(F.col(f"has_{n.split('.')[0]}") == F.lit(False), "error", f"Missing required file: {n}")
+              for n in REQUIRED_ARTIFACTS]
+    checks.append((F.col("charts") == 0, "error", "No chart files found in charts directory"))
+    checks.append((F.col("summary_chars") < SHORT_SUMMARY_CHARS, "warning", "Summary appears to be very short"))
+    rows = F.array_compact(F.array(*[
+        F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("message")))
+        for c, sev, msg in checks]))
+    return facts.select("run_id", F.explode(rows).alias("f")).select("run_id", "f.severity", "f.message")
+
+
+def criteria_met(criteria: DataFrame, facts: DataFrame) -> DataFrame:
+    """``run_id, criterion, met`` for each stated success criterion:
+    chart saved → a chart exists; summary / notebook → the file exists and is
+    not empty; anything else passes."""
+    c = F.lower(F.col("criterion"))
+    met = (F.when(c.contains("chart saved"), F.col("charts") > 0)
+             .when(c.contains("summary"), F.coalesce(F.col("filled_summary"), F.lit(False)))
+             .when(c.contains("notebook"), F.coalesce(F.col("filled_analysis"), F.lit(False)))
+             .otherwise(F.lit(True)))
+    return criteria.join(facts, "run_id", "left").select(
+        "run_id", "criterion", F.coalesce(met, F.lit(False)).alias("met"))

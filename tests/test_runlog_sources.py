@@ -101,3 +101,38 @@ def test_read_tasks(spark):
 
 def test_result_sink_name(spark):
     assert S.result_name("select 1") == "result_" + hashlib.sha1(b"select 1").hexdigest()[:12]
+
+
+def test_postflight_and_criteria(spark):
+    d = tempfile.mkdtemp(prefix="tw-post-")
+    files = {"r1/analysis.ipynb": "{}", "r1/summary.md": "x" * 80, "r1/trace.json": "{}", "r1/charts/a.png": "p",
+             "r2/summary.md": "  short  ", "r2/trace.json": "{}"}
+    for rel, body in files.items():
+        os.makedirs(os.path.dirname(os.path.join(d, rel)), exist_ok=True)
+        open(os.path.join(d, rel), "w").write(body)
+    facts = R.artifact_facts(spark, d)
+    found = sorted((r["run_id"], r["severity"], r["message"]) for r in R.postflight(facts).collect())
+    assert found == [("r2", "error", "Missing required file: analysis.ipynb"),
+                     ("r2", "error", "No chart files found in charts directory"),
+                     ("r2", "warning", "Summary appears to be very short")]
+    crit = spark.createDataFrame([("r1", "Chart saved"), ("r2", "chart saved"), ("r2", "summary written"),
+                                  ("r2", "notebook built"), ("r2", "numbers grounded")], "run_id string, criterion string")
+    got = {(r["run_id"], r["criterion"]): r["met"] for r in R.criteria_met(crit, facts).collect()}
+    assert got == {("r1", "Chart saved"): True, ("r2", "chart saved"): False, ("r2", "summary written"): True,
+                   ("r2", "notebook built"): False, ("r2", "numbers grounded"): True}
+
+
+def test_best_result_priorities(spark):
+    steps = spark.createDataFrame([
+        (1, 1, "aggregate", ["region"], ["sum(x)"], None, 3, None, ["region", "revenue_percentage"]),
+        (1, 2, "aggregate", [], ["sum(x)"], None, 1, None, ["sum_x"]),
+        (1, 3, "visualize", [], [], "bar", 0, None, []),
+        (2, 1, "prepare_data", [], [], None, 10, None, []),
+        (2, 2, "aggregate", [], ["avg(y)"], None, 1, None, ["avg_y"])],
+        "run_id long, step_id long, action string, group_by array<string>, metrics array<string>, "
+        "chart_type string, result_count long, query string, columns array<string>")
+    plain = {r["run_id"]: (r["step_id"], r["priority"]) for r in R.best_result(steps).collect()}
+    assert plain == {1: (1, 3), 2: (2, 2)}
+    qs = spark.createDataFrame([(1, "What percentage of revenue?"), (2, "average y")], "run_id long, question string")
+    asked = {r["run_id"]: (r["step_id"], r["priority"]) for r in R.best_result(steps, qs).collect()}
+    assert asked == {1: (1, 4), 2: (2, 2)}
