@@ -236,15 +236,13 @@ def register(reg):
         GROUP BY b""")
     def sql_join_range(spark, sf):
         part = table(spark, sf, "part")
-        stats = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-        bands = (spark.range(10).withColumnRenamed("id", "band")
-                 .select("band", (stats.select("lo").scalar() + F.col("band") *
-                                  (stats.select("hi").scalar() - stats.select("lo").scalar()) / 10).alias("b_lo"),
-                         (stats.select("lo").scalar() + (F.col("band") + 1) *
-                          (stats.select("hi").scalar() - stats.select("lo").scalar()) / 10).alias("b_hi")))
-        width = 1.0
+        lo, hi = part.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
+        step = (hi - lo) / 10
+        # ten equal-width price bands over the observed range (one small aggregate)
+        bands = spark.createDataFrame([(b, lo + b * (hi - lo) / 10, lo + (b + 1) * (hi - lo) / 10) for b in range(10)],
+                                      "band long, b_lo double, b_hi double")
         j = range_join(part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "b_lo", "b_hi",
-                       bin_width=width * 100)
+                       bin_width=step)
         j = j.where((F.col("p_retailprice") < F.col("b_hi")) | (F.col("band") == 9))
         return rounded(j.groupBy("band").agg(F.count(F.lit(1)).alias("parts"),
                                              F.avg("p_retailprice").alias("avg_price")))
