@@ -23,9 +23,14 @@ def runs_from_events(spark, sf):
                      F.col("value").alias("duration"))
 
 
-def steps_from_events(spark, sf):
+def steps_from_events(spark, sf, numbered: bool = True):
+    """Steps by the FIXTURES rule; ``numbered=False`` skips the step numbers
+    (an exact-rank job) for checks that never look at them."""
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    ranked = rank_within_groups(ev, ["user_id"], F.struct("ts", "event_id"), "pos")
+    if numbered:
+        ranked = rank_within_groups(ev, ["user_id"], F.struct("ts", "event_id"), "pos")
+    else:
+        ranked = ev.withColumn("pos", F.lit(None).cast("long"))
     eid = F.col("event_id")
     action = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in ACTION.items()])
     empty = F.array().cast("array<string>")
@@ -128,7 +133,7 @@ def register(reg):
 
     @reg.add("run_checks", RUN_CHECKS_SQL)
     def run_checks(spark, sf):
-        return R.step_checks(steps_from_events(spark, sf))
+        return R.step_checks(steps_from_events(spark, sf, numbered=False))
 
     @reg.add("run_verdicts", f"""
         WITH c AS ({RUN_CHECKS_SQL}),
@@ -140,7 +145,7 @@ def register(reg):
         FROM a LEFT JOIN l ON a.run_id = l.run_id AND a."check" = l."check"
         GROUP BY a.run_id, a.task_id""")
     def run_verdicts(spark, sf):
-        checks = R.step_checks(steps_from_events(spark, sf))
+        checks = R.step_checks(steps_from_events(spark, sf, numbered=False))
         run_tasks = checks.select("run_id", (F.col("run_id") % 8 + 1).cast("int").alias("task_id"))
         return R.verdicts(run_tasks, checks, R.tasks_table(spark))
 
