@@ -107,3 +107,9 @@ def test_exact_grouped_median_matches_builtin(spark):
     g1 = A.aggregate(df, [], ["median(v)"], exact_median=True).df.first()[0]
     g2 = A.aggregate(df, [], ["median(v)"], exact_median=False).df.first()[0]
     assert g1 == g2
+
+
+def test_expression_arguments_in_metrics(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("b", 2, 4.0)], "k string, x int, y double")
+    r = {row["k"]: row for row in A.aggregate(df, ["k"], ["count(distinct x)", "sum(x * y)", "std(y)"]).df.collect()}
+    assert r["a"]["count_distinct_x"] == 1 and r["a"]["sum_x_y"] == 5.0 and r["b"]["std_y"] is None
