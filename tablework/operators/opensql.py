@@ -70,7 +70,7 @@ def auto_bucket_seconds(left: DataFrame, right: DataFrame, by: list[str], on: st
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
               right_cols: list[str], bucket_seconds: int | str | None = "auto",
-              prefix: str = "asof_") -> DataFrame:
+              prefix: str = "asof_", target_cell_rows: int = ASOF_TARGET_CELL_ROWS) -> DataFrame:
     """For every left row, the right row of the same ``by`` key with the
     greatest ``on`` ≤ the left row's ``on`` (left rows without one keep
     nulls).  Right columns come back as ``<prefix><col>`` plus
@@ -82,10 +82,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
     a window over one aggregated row per cell, so a key holding a third of
     all rows is still spread over many tasks.  ``bucket_seconds=None``
     partitions by key alone (fine when no key is hot); ``"auto"`` sizes the
-    buckets from the hottest key (``auto_bucket_seconds``).
+    buckets from the hottest key so a cell holds about ``target_cell_rows``
+    rows (``auto_bucket_seconds``): work per task is bounded, not the key.
     """
     if bucket_seconds == "auto":
-        bucket_seconds = auto_bucket_seconds(left, right, by, on)
+        bucket_seconds = auto_bucket_seconds(left, right, by, on, target_cell_rows)
     rstruct = F.struct(_q(on).alias("t"), *[_q(c).alias(f"c{i}") for i, c in enumerate(right_cols)])
     L = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(right.select(rstruct.alias("s")).schema["s"].dataType))
     R = right.select(*[_q(k) for k in by], _q(on), F.lit(0).alias("__side"), rstruct.alias("__r"))
