@@ -78,6 +78,55 @@ def simhash_leaks(spark, sf_dir):
     return found.drop("at")
 
 
+@query("op1_secret_grammar")
+def secret_grammar(spark, sf_dir):
+    from tablework.llm import secret_grammar as S
+    docs = C.table(spark, sf_dir, "documents")
+    return S.scan(docs, S.learn(docs))
+
+
+@query("op2_fuzzy_lines")
+def fuzzy_lines(spark, sf_dir):
+    from tablework.llm.fuzzy_lines import dedup_lines
+    return dedup_lines(C.table(spark, sf_dir, "documents"))
+
+
+_DIGITS = ", ".join(f"('0x' || substr(x, {5 * g + 1}, 5))::INT" for g in range(8))
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS k FROM p),
+e AS (SELECT *, [{_DIGITS}] AS v FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+                  FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN k = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k <> page_id THEN k END AS refers_to FROM e
+"""
+
+
+@query("op5_warc_index", WARC_SQL)
+def warc_index(spark, sf_dir):
+    from tablework.llm.warc_index import round_trip
+    return round_trip(spark, C.table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op6_bloom_lm")
+def bloom_lm(spark, sf_dir):
+    from tablework.llm import bloom_lm as B
+    docs = C.table(spark, sf_dir, "documents")
+    scored = B.score(docs, ~B.held_out(F.col("doc_id")))
+    return scored.select("doc_id", B.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_bigru_toxicity")
+def bigru_toxicity(spark, sf_dir):
+    from tablework.llm import bigru_toxicity as T
+    docs = C.table(spark, sf_dir, "documents")
+    known = C.table(spark, sf_dir, "labels").where(~T.held_out(F.col("doc_id")))
+    scored = T.score(docs, T.train(docs, known))
+    return scored.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= T.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
