@@ -27,12 +27,6 @@ def registry() -> Registry:
     if _REGISTRY is None:
         reg = Registry()
         for mod in FAMILIES:
-            try:
-                m = importlib.import_module(mod)
-            except ModuleNotFoundError as e:
-                if e.name == mod:
-                    continue
-                raise
-            m.register(reg)
+            importlib.import_module(mod).register(reg)
         _REGISTRY = reg
     return _REGISTRY

@@ -54,8 +54,8 @@ def get_spark(master: str | None = None, app: str = "tablework",
 def ensure_shared_dir(spark: SparkSession) -> str:
     """Return the cluster's shared folder (``spark.checkpoint.dir``).
 
-    The cluster names it; we only pick our own when it is unset, which is
-    the case in local tests.
+    The cluster names it.  Our own is picked only on a local master, where
+    the driver's disk is every task's disk; elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +63,8 @@ def ensure_shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tablework-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -74,21 +76,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "tablework", *parts, uuid.uuid4().hex[:12]])
 
 
-# Largest side (rows) that is ever broadcast after its size was counted.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS,
-               null_safe: bool = False):
-    """Join ``small`` to ``big``, broadcasting ``small`` only when a count
-    proves it holds at most ``max_rows`` rows.  Otherwise a shuffle join is
-    left to the planner (AQE splits skewed partitions).  The small side is
-    checkpointed to the shared folder first, so it is computed once."""
+def join_small(big, small, on, how: str = "inner", null_safe: bool = False):
+    """Join ``small`` to ``big``.  The small side is checkpointed to the shared
+    folder first, so it is computed once and its size in bytes is known; the
+    planner broadcasts it below its threshold, else it is a shuffle join whose
+    skewed partitions AQE splits."""
     from pyspark.sql import functions as F
     ensure_shared_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)  # computed once; count and join read the same rows
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    small = small.checkpoint(eager=True)
+    side = small
     if not null_safe:
         return big.join(side, on=on, how=how)
     # keys compared with <=>, so null keys find their group too

@@ -111,9 +111,3 @@ def test_topn_smallest_first(spark):
     df = spark.createDataFrame([("a", 10.0), ("b", 30.0), ("c", 60.0)], "k string, total double")
     rows = N.topn_facts(df, ["k"], "total", 2, smallest_first=True).orderBy("rank").collect()
     assert [r["label"] for r in rows] == ["a", "b"]
-
-
-def test_chart_title():
-    from tablework.functions.text import chart_title
-    assert chart_title("Products", "product_category", "total_sales", 5) == "Top 5 Products by Product Category (Total Sales)"
-    assert chart_title("Line Chart", "month", None, 30) == "Line Chart by Month"
