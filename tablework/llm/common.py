@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablework.session import shared_path
 
 #: Bytes of text that the numpy passes take at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: A side that is broadcast holds at most this many bytes.
 BROADCAST_BYTES = 24 << 20
 
@@ -45,12 +45,23 @@ def small_side(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+#: Rows of an Arrow batch.  Texts of some kilobytes make the default a batch of tens of megabytes.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cap Arrow batches of this session at ``BATCH_ROWS`` rows (a smaller setting stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of ``links`` (a, b: non-null longs, a != b).
+    """Connected components of ``links`` (a staged table; a, b: non-null longs).
 
     Returns (id, component) for every id in a link; the component is its
     smallest id.  Alternating large-star and small-star steps: each hangs the
@@ -59,8 +70,7 @@ def components(links: DataFrame) -> DataFrame:
     with very many links is no hot spot.  Each step is written to the shared
     folder, which cuts the lineage; nothing is collected.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = staged(edges, "links")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     if edges.isEmpty():
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
@@ -75,10 +85,10 @@ def components(links: DataFrame) -> DataFrame:
                  .union(low.select("u", F.col("m").alias("v")))).where("u != v").distinct()
         small = staged(small, "stars")
         # done when every node has one link, to a node that has none above it
-        tops = small.select("v").distinct().join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        many = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select(F.col("u").alias("v"))
+        ends = small.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(small.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
         edges = small
-        if tops.union(many).isEmpty():
+        if ends.where("up > 1 OR up > 0 AND low > 0").isEmpty():
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -192,6 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ignored.
     """
     spark = docs.sparkSession
+    C.bounded_batches(spark)
     docs = located(docs)
     docs = docs.select(F.xxhash64("__at.file", "__at.row").alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     seen = C.staged(docs.select("rid", "doc_id", "text").mapInArrow(
@@ -212,7 +213,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def linked(pairs: DataFrame) -> DataFrame:
         x = classes.select(F.col("cls").alias("a"), F.col("fp").alias("fa"), F.col("size").alias("na"))
         y = classes.select(F.col("cls").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"))
-        close = pairs.distinct().join(x, "a").join(y, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
+        close = pairs.join(x, "a").join(y, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
         close = C.staged(close.select("a", "b"), "close")
         held = C.staged(texts(close.select(F.col("a").alias("cls")).union(close.select(F.col("b").alias("cls")))), "held")
         both = close.join(held.toDF("a", "xa"), "a").join(held.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")

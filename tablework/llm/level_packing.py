@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablework.llm import common as C
+
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 2048
@@ -173,6 +175,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     of their own.  Every id lies in one piece; a sequence has ``window``
     tokens or a power of two of them.  An empty table gives no rows.
     """
+    C.bounded_batches(docs.sparkSession)
     if ranks_path is None:
         import public_tokenizers as P
         ranks_path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN

@@ -33,7 +33,7 @@ from tablework.llm import common as C
 ORDER = 3
 TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 UNKNOWN = "und"
 
 
@@ -130,6 +130,7 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on labelled ``docs``; rows without label or text are ignored."""
+    C.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     the new names are replaced.  Equal codes go to the first language by name.
     """
     spark = docs.sparkSession
+    C.bounded_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     shared = spark.sparkContext.broadcast(model)  # at most TABLE_BYTES
     cols = [F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter")]

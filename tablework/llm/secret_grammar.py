@@ -274,6 +274,7 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> Grammars:
     """Fit on about ``TRAIN_DOCS`` documents, at most
     ``TRAIN_VALUES`` values a kind and ``PLAIN_VALUES`` ordinary tokens (those of lowest hash)."""
+    C.bounded_batches(docs.sparkSession)
     n = docs.count()
     share = min(1.0, TRAIN_DOCS / max(1, n))
     sample = docs.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 20)) <= int(share * (1 << 20)))
@@ -322,6 +323,7 @@ def scan(docs: DataFrame, grammars: Grammars, id_col: str = "doc_id", text_col:
     has none.  Rows with null or repeated ids get a row each; an empty table
     gives none.
     """
+    C.bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(grammars)  # at most TRAIN_VALUES * TRAIN_CHARS states a kind
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return frame.mapInArrow(_spans_task(model), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")

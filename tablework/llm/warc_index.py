@@ -139,6 +139,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_
     group's response, or is a response if no row of the group has an id.
     """
     spark = pages.sparkSession
+    C.bounded_batches(spark)
     folder = folder or shared_path(spark, "warc")
     fs, base = store(folder)
     fs.create_dir(base, recursive=True)
