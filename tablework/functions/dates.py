@@ -124,14 +124,16 @@ def detect_date_columns(df: DataFrame, threshold: float = 0.6,
     return [f.name for f in df.schema.fields if f.name in chosen]
 
 
-def parse_ratio(df: DataFrame, name: str) -> float:
-    """Share of all rows of text column ``name`` that parse (one aggregate)."""
+def parse_ratio(df: DataFrame, name: str, weight: str | None = None) -> float:
+    """Share of all rows of text column ``name`` that parse (one aggregate);
+    ``weight`` is a column of row counts, if a row stands for several."""
     parsed = parse_timestamp(F.col(f"`{name}`"))
-    r = df.agg(F.avg(F.when(parsed.isNotNull(), 1.0).otherwise(0.0))).first()[0]
+    w = F.col(weight) if weight else F.lit(1)
+    r = df.agg(F.try_divide(F.sum(F.when(parsed.isNotNull(), w).otherwise(0)), F.sum(w))).first()[0]
     return float(r or 0.0)
 
 
-def coerce_if_dates(df: DataFrame, name: str, threshold: float = 0.5) -> tuple[DataFrame, bool]:
+def coerce_if_dates(df: DataFrame, name: str, threshold: float = 0.5, weight: str | None = None) -> tuple[DataFrame, bool]:
     """Chart axis rule: a text column becomes a timestamp when at least
     ``threshold`` of its rows parse.  The decision fixes the output type, so
     it is taken once, from one small aggregate, before the plan is built."""
@@ -140,6 +142,6 @@ def coerce_if_dates(df: DataFrame, name: str, threshold: float = 0.5) -> tuple[D
         return df.withColumn(name, as_timestamp(df, name)), True
     if not isinstance(dt, T.StringType):
         return df, False
-    if parse_ratio(df, name) >= threshold:
+    if parse_ratio(df, name, weight) >= threshold:
         return df.withColumn(name, parse_timestamp(F.col(f"`{name}`"))), True
     return df, False

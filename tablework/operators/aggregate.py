@@ -5,9 +5,8 @@ Spark runs a partial (map-side) hash aggregate per task, shuffles one row
 per key and task, and merges.  A key holding a third of all rows costs one
 partial row per task, so skew does not reach the shuffle.
 
-Top-k and bottom-k are ``orderBy(...).limit(k)`` → ``TakeOrderedAndProject``
-(a k-row heap per task, no global sort).  Ranks are numbered only over the
-kept rows.  Ties go to the lowest group keys, nulls last.
+Top-k and bottom-k are rank limits: each task keeps k rows per metric before
+the shuffle (no global sort).  Ties go to the lowest group keys, nulls last.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.metrics import Metric, parse_metrics
+from tablework.session import written_once
+from tablework.sources.scan import nan_to_null
 
 
 class AggregateError(ValueError):
@@ -37,36 +38,20 @@ def _key(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-# Largest group (rows) whose median may use Spark's built-in exact
-# ``median``: its per-group value map is merged in one task.
-MEDIAN_IN_TASK_ROWS = 1_000_000
+def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str]) -> AggResult:
+    """Keys then metrics; null keys kept; ascending by the first key, nulls
+    last.  NaN counts as missing.
 
-
-def _largest_group(df: DataFrame, keys: list[str]) -> int:
-    if not keys:
-        return df.agg(F.count(F.lit(1))).first()[0]
-    return df.groupBy(*[_key(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str],
-              exact_median: bool | None = None) -> AggResult:
-    """Keys then metrics; null keys kept; ascending by the first key, nulls last.
-
-    Plain ``median(col)`` metrics: Spark's exact ``median`` merges a group's
-    whole value map in one task, so it is used only when one aggregate shows
-    no group exceeds ``MEDIAN_IN_TASK_ROWS`` rows (or ``exact_median=False``).
-    Otherwise (or with ``exact_median=True``) the median comes from exact
-    positions (``ordinal.grouped_quantiles``; globally the bounded
-    ``quantiles.exact_quantiles``), which cut any group across tasks."""
+    ``median(col)`` metrics come from exact positions (grouped:
+    ``ordinal.grouped_quantiles``; global: ``quantiles.exact_quantiles``),
+    which cut any group across tasks."""
     keys = [g.strip() for g in (group_by or [])]
     for g in keys:
         if g not in df.columns:
-            raise AggregateError(f"Group-by column not found in data: {g}")
+            raise AggregateError(f"No column {g!r} to group by")
     parsed: list[Metric] = parse_metrics(metrics, df)
-    med = [m for m in parsed if exact_median is not False and m.source_column
-           and m.text.strip().lower().startswith("median")]
-    if med and exact_median is None and _largest_group(df, keys) <= MEDIAN_IN_TASK_ROWS:
-        med = []
+    df = nan_to_null(df)
+    med = [m for m in parsed if m.source_column and m.text.strip().lower().startswith("median")]
     rest = [m for m in parsed if m not in med]
     if keys:
         kcols = [_key(k) for k in keys]
@@ -103,25 +88,27 @@ def _tie_order(keys: list[str]) -> list[Column]:
     return [_key(k).asc_nulls_last() for k in keys]
 
 
+def _number(c: str) -> Column:
+    """A value as a double, NaN as null."""
+    v = _key(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def top_k(agg: DataFrame, keys: list[str], metrics: list[str], k: int = 5,
           largest: bool = True) -> DataFrame:
     """Long form ``metric, rank, <keys>, value``: the k largest (or smallest)
-    result rows per metric.  Bottom-k skips null values."""
-    parts = []
-    for m in metrics:
-        v = F.col(f"`{m}`")
-        src = agg if largest else agg.where(v.isNotNull())
-        order = [v.desc_nulls_last() if largest else v.asc()] + _tie_order(keys)
-        kept = src.orderBy(*order).limit(k).select(
-            F.lit(m).alias("metric"), *[_key(x) for x in keys], v.cast("double").alias("value"))
-        parts.append(kept)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # at most k rows per metric reach this window
-    w = Window.partitionBy("metric").orderBy(
-        *([F.col("value").desc_nulls_last() if largest else F.col("value").asc()] + _tie_order(keys)))
-    return out.withColumn("rank", F.row_number().over(w))
+    result rows per metric.  Bottom-k skips null values.
+
+    ``agg`` is read once: its rows are spread into a row per metric, and the
+    rank limit keeps k rows per metric and task before the shuffle."""
+    spread = agg.select(*[_key(x) for x in keys], F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), _number(m).alias("value")) for m in metrics])).alias("m"))
+    spread = spread.select("m.metric", *[_key(x) for x in keys], "m.value")
+    if not largest:
+        spread = spread.where("value IS NOT NULL")
+    value = F.col("value")
+    w = Window.partitionBy("metric").orderBy(value.desc_nulls_last() if largest else value.asc(), *_tie_order(keys))
+    return spread.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bottom_k(agg: DataFrame, keys: list[str], metrics: list[str], k: int = 5) -> DataFrame:
@@ -144,28 +131,22 @@ def extrema(agg: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     aggregate pass (null values skipped), then one small row per metric."""
     cols = []
     for i, m in enumerate(metrics):
-        v = F.col(f"`{m}`").cast("double")
+        v = _number(m)
         cols.append(F.min(F.when(v.isNotNull(), _arg_struct(v, keys, True))).alias(f"hi{i}"))
         cols.append(F.min(F.when(v.isNotNull(), _arg_struct(v, keys, False))).alias(f"lo{i}"))
-    one = agg.agg(*cols)
-    parts = []
+    facts = []
     for i, m in enumerate(metrics):
-        sel = [F.lit(m).alias("metric"), (-F.col(f"hi{i}.v")).alias("max_value"),
-               F.col(f"lo{i}.v").alias("min_value")]
-        for j, k in enumerate(keys):
-            sel.append(F.col(f"hi{i}.k{j}").alias(f"max_{k}"))
-            sel.append(F.col(f"lo{i}.k{j}").alias(f"min_{k}"))
-        parts.append(one.select(*sel))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        facts.append(F.struct(F.lit(m).alias("metric"), (-F.col(f"hi{i}.v")).alias("max_value"), F.col(f"lo{i}.v").alias("min_value"),
+                              *[F.col(f"{side}{i}.k{j}").alias(f"{name}_{k}") for j, k in enumerate(keys)
+                                for side, name in (("hi", "max"), ("lo", "min"))]))
+    return agg.agg(*cols).select(F.inline(F.array(*facts)))
 
 
 def share_of_total(agg: DataFrame, value: str, pct_name: str = "share_pct") -> DataFrame:
     """``value / total × 100`` per row.  The total is an uncorrelated scalar
     sub-query: computed once, then a constant in every task (no join, no
     single-partition window)."""
+    agg = nan_to_null(agg)
     total = agg.agg(F.sum(F.col(f"`{value}`"))).scalar()
     return agg.withColumn(pct_name, F.try_divide(F.col(f"`{value}`"), total) * F.lit(100.0))
 
@@ -173,7 +154,7 @@ def share_of_total(agg: DataFrame, value: str, pct_name: str = "share_pct") -> D
 def top_n_sum(df: DataFrame, x: str, y: str, n: int = 30) -> DataFrame:
     """Group by ``x``, sum ``y``, largest first, at most ``n`` groups.  Null
     ``x`` is dropped (chart grouping)."""
-    return (df.where(_key(x).isNotNull())
+    return (nan_to_null(df.select(_key(x), _key(y))).where(_key(x).isNotNull())
               .groupBy(_key(x)).agg(F.sum(_key(y)).alias(y))
               .orderBy(F.col(f"`{y}`").desc_nulls_last(), _key(x).asc())
               .limit(n))
@@ -203,10 +184,15 @@ class AggReport:
 
 def aggregate_report(df: DataFrame, group_by: list[str] | None, metrics: list[str], k: int = 5) -> AggReport:
     """``aggregate`` plus top-k, bottom-k, extrema of every numeric metric and
-    the grounding statistics of the result.  Nothing runs until a frame is
-    used; the aggregate's shuffle output is shared by the derived plans."""
+    the grounding statistics of the result.
+
+    The aggregate is written once to the shared folder and every derived frame
+    reads that table, so the input is read once."""
     from tablework.operators.profile import computed_values
     res = aggregate(df, group_by, metrics)
+    written = written_once(res.df, "report")
+    order = [_key(res.group_by[0]).asc_nulls_last()] if res.group_by else []
+    res = AggResult(written.orderBy(*order) if order else written, res.group_by, res.metrics, res.metadata)
     if res.metrics:
         tk, bk = top_k(res.df, res.group_by, res.metrics, k), bottom_k(res.df, res.group_by, res.metrics, k)
         ex = extrema(res.df, res.group_by, res.metrics)

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.text import format_value
-from tablework.operators.aggregate import extrema
+from tablework.operators.aggregate import extrema, share_of_total
+from tablework.operators.ordinal import with_row_index
 from tablework.operators.profile import q
+from tablework.session import written_once
+from tablework.sources.scan import nan_to_null
 
 # Trend wording thresholds (percent).
 STABLE_CHANGE = 5
@@ -31,8 +34,9 @@ BREAKDOWN_MAX_GROUPS = 10
 DEFAULT_SHOW_N = 10
 
 
-def _label(keys: list[str], prefix: str = "") -> Column:
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}=" if prefix else ""), q(k).cast("string")) for k in keys])
+def _label(keys: list[str], names: bool = False, of=q) -> Column:
+    """The keys of a row as text; a null key is shown as None."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}=" if names else ""), F.coalesce(of(k).cast("string"), F.lit("None"))) for k in keys])
 
 
 def scalar_fact(df: DataFrame, is_aggregate: bool = False) -> DataFrame:
@@ -51,10 +55,11 @@ def group_facts(agg: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     """Top and bottom group of up to two metrics and the group count:
     ``metric, top_label, top_value, bottom_label, bottom_value, groups``."""
     ms = metrics[:2]
+    agg = written_once(agg.select(*[q(c) for c in [*keys, *ms]]), "groups")
     ex = extrema(agg, keys, ms)
     groups = agg.agg(F.count(F.lit(1))).scalar()
-    top = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"`max_{k}`").cast("string")) for k in keys])
-    bot = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"`min_{k}`").cast("string")) for k in keys])
+    top = F.when(F.col("max_value").isNotNull(), _label(keys, True, lambda k: F.col(f"`max_{k}`")))
+    bot = F.when(F.col("min_value").isNotNull(), _label(keys, True, lambda k: F.col(f"`min_{k}`")))
     return ex.select("metric", top.alias("top_label"), F.col("max_value").alias("top_value"),
                      bot.alias("bottom_label"), F.col("min_value").alias("bottom_value"),
                      groups.alias("groups"))
@@ -103,33 +108,47 @@ def _ranked(sorted_df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def breakdown(agg: DataFrame, keys: list[str], value: str, limit: int = BREAKDOWN_MAX_GROUPS,
-              question: str | None = None) -> DataFrame:
-    """Groups by ``value`` descending (ties to the lowest keys):
+def breakdown(agg: DataFrame, keys: list[str], value: str, question: str | None = None) -> DataFrame:
+    """All groups by ``value`` descending (ties to the lowest keys):
     ``rank, label, value, text``.  Used with a percent column (N7) or the
     raw metric (N9)."""
+    agg = nan_to_null(agg)
     order = [q(value).desc_nulls_last()] + [q(k).asc_nulls_last() for k in keys]
-    r = _ranked(agg, order, limit)
+    r = with_row_index(agg, order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     return r.select("rank", _label(keys).alias("label"), q(value).cast("double").alias("value"),
                     F.concat(_label(keys), F.lit(": "), format_value(q(value), value, question)).alias("text"))
 
 
+def share_facts(agg: DataFrame, keys: list[str], value: str, question: str | None = None) -> DataFrame:
+    """Value and share of the total of every group, and the total (N8):
+    ``rank, label, value, share_pct, total, text``."""
+    agg = written_once(agg.select(*[q(c) for c in [*keys, value]]), "groups")
+    shares = share_of_total(agg, value, "__share")
+    total = agg.agg(F.sum(F.when(~F.isnan(q(value).cast("double")), q(value).cast("double")))).scalar()
+    order = [F.col("__share").desc_nulls_last()] + [q(k).asc_nulls_last() for k in keys]
+    r = with_row_index(shares, order, "rank")
+    return r.select((F.col("rank") + 1).cast("int").alias("rank"), _label(keys).alias("label"), q(value).cast("double").alias("value"),
+                    F.col("__share").alias("share_pct"), total.alias("total"),
+                    F.concat(_label(keys), F.lit(": "), format_value(F.col("__share"), "share_pct", question)).alias("text"))
+
+
 def topn_facts(agg: DataFrame, keys: list[str], metric: str, n: int | None = None,
                smallest_first: bool = False) -> DataFrame:
     """Top-N rows with rank, value and share of the total, plus the joint
     share of the N and the count of the others (same on every row)."""
-    total = agg.agg(F.sum(q(metric))).scalar()
-    groups = agg.agg(F.count(F.lit(1))).scalar()
     show = n if n is not None else DEFAULT_SHOW_N
+    agg = written_once(nan_to_null(agg.select(*[q(c) for c in [*keys, metric]])), "groups")
     v = q(metric)
     order = [v.asc_nulls_last() if smallest_first else v.desc_nulls_last()] + [q(k).asc_nulls_last() for k in keys]
+    both = agg.agg(F.sum(v).alias("t"), F.count(F.lit(1)).alias("g")).first()
+    total = {"t": F.lit(both["t"]), "g": F.lit(both["g"])}
     r = _ranked(agg, order, show)
-    share = F.try_divide(v.cast("double"), total) * 100
+    share = F.try_divide(v.cast("double"), total["t"]) * 100
     top_total = F.sum(v).over(Window.partitionBy())  # at most N rows here
     return r.select(
         "rank", _label(keys).alias("label"), v.cast("double").alias("value"), share.alias("share_pct"),
-        (F.try_divide(top_total.cast("double"), total) * 100).alias("top_share_pct"),
-        F.greatest(groups - F.lit(show), F.lit(0)).alias("others"))
+        (F.try_divide(top_total.cast("double"), total["t"]) * 100).alias("top_share_pct"),
+        F.greatest(total["g"] - F.lit(show), F.lit(0)).alias("others"))
 
 
 def single_row_text(df: DataFrame, max_pairs: int = 6, question: str | None = None) -> DataFrame:
@@ -160,7 +179,6 @@ def summary_facts(df: DataFrame, meta: dict | None = None, question: str | None
     one aggregate; the facts themselves are the functions above."""
     from tablework.functions.metrics import metric_columns
     from tablework.functions.text import question_smallest_first
-    from tablework.operators.aggregate import share_of_total
     from tablework.operators.profile import frame_digest, numeric_columns
     spark = df.sparkSession
     meta = meta or {}
@@ -185,8 +203,7 @@ def summary_facts(df: DataFrame, meta: dict | None = None, question: str | None
             if pct:
                 return "breakdown_pct", breakdown(df, keys, pct[0], question=question)
             if "total_revenue" in df.columns:
-                shares = share_of_total(df, "total_revenue", "share_pct")
-                return "share_of_total", breakdown(shares, keys, "share_pct", question=question)
+                return "share_of_total", share_facts(df, keys, "total_revenue", question)
             return "breakdown", breakdown(df, keys, metrics[0], question=question)
         if any(w in ql for w in TOP_QUESTION_WORDS):
             from tablework.functions.text import question_top_n

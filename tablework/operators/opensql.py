@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablework.session import ensure_shared_dir, written_once
 from tablework.sources.scan import register_sources
 
 
@@ -49,90 +50,82 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-ASOF_TARGET_CELL_ROWS = 1_000_000
-
-
-def auto_bucket_seconds(left: DataFrame, right: DataFrame, by: list[str], on: str,
-                        target_rows: int = ASOF_TARGET_CELL_ROWS) -> int:
-    """Bucket width that keeps the hottest key's cells near ``target_rows``
-    rows: one aggregate over both sides (rows per key, time span)."""
-    both = left.select(*by, on).unionByName(right.select(*by, on))
-    per_key = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                    F.min(on).alias("t0"), F.max(on).alias("t1"))
-    r = per_key.agg(F.max("n").alias("hot"),
-                    F.max(F.unix_micros(F.col("t1").cast("timestamp")) -
-                          F.unix_micros(F.col("t0").cast("timestamp"))).alias("span")).first()
-    if not r["hot"] or not r["span"]:
-        return 86400
-    cells = max(1, -(-r["hot"] // target_rows))
-    return max(1, int(r["span"] / 1_000_000 / cells))
-
-
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
-              right_cols: list[str], bucket_seconds: int | str | None = "auto",
-              prefix: str = "asof_", target_cell_rows: int = ASOF_TARGET_CELL_ROWS) -> DataFrame:
+              right_cols: list[str], prefix: str = "asof_") -> DataFrame:
     """For every left row, the right row of the same ``by`` key with the
     greatest ``on`` ≤ the left row's ``on`` (left rows without one keep
-    nulls).  Right columns come back as ``<prefix><col>`` plus
-    ``<prefix><on>``.
-
-    Skew-safe in two levels when ``bucket_seconds`` is set: rows are cut
-    into (key, time bucket) cells.  Inside a cell a window runs over that
-    cell's rows only; the value carried in from earlier buckets comes from
-    a window over one aggregated row per cell, so a key holding a third of
-    all rows is still spread over many tasks.  ``bucket_seconds=None``
-    partitions by key alone (fine when no key is hot); ``"auto"`` sizes the
-    buckets from the hottest key so a cell holds about ``target_cell_rows``
-    rows (``auto_bucket_seconds``): work per task is bounded, not the key.
+    nulls); of right rows at one instant the greatest ``right_cols``.  Right
+    columns come back as ``<prefix><col>`` plus ``<prefix><on>``.  A null key
+    or time matches nothing.
+
+    Both sides are range-sorted together by (key, time, side, identity), so a
+    hot key, or a burst at one instant, is cut by rank across partitions.  A
+    window carries the latest right row inside a partition; what enters from
+    earlier partitions comes from one row per partition.
     """
-    if bucket_seconds == "auto":
-        bucket_seconds = auto_bucket_seconds(left, right, by, on, target_cell_rows)
     rstruct = F.struct(_q(on).alias("t"), *[_q(c).alias(f"c{i}") for i, c in enumerate(right_cols)])
-    L = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(right.select(rstruct.alias("s")).schema["s"].dataType))
-    R = right.select(*[_q(k) for k in by], _q(on), F.lit(0).alias("__side"), rstruct.alias("__r"))
+    keys = [_q(k) for k in by]
+    known = _q(on).isNotNull()
+    for k in keys:
+        known &= k.isNotNull()
+    kind = right.select(rstruct.alias("s")).schema["s"].dataType
+    L = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(kind))
+    R = right.where(known).select(*keys, _q(on), F.lit(0).alias("__side"), rstruct.alias("__r"))
     # right rows sort before left rows at the same instant, so "≤" holds
-    if bucket_seconds is None:
-        u = L.unionByName(R, allowMissingColumns=True)
-        w = (Window.partitionBy(*[_q(k) for k in by]).orderBy(_q(on).asc(), F.col("__side").asc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-        u = u.withColumn("__hit", F.last("__r", ignorenulls=True).over(w))
-    else:
-        bucket = F.floor(F.unix_micros(_q(on).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-        L2, R2 = L.withColumn("__b", bucket), R.withColumn("__b", bucket)
-        keys = [_q(k) for k in by]
-        # one row per (key, bucket): the latest right row of the cell
-        cell_last = R2.groupBy(*keys, "__b").agg(F.max("__r").alias("__cell"))
-        cells_left = L2.select(*keys, "__b").distinct().withColumn("__cell", F.lit(None).cast(cell_last.schema["__cell"].dataType))
-        cells = cell_last.withColumn("__is_left", F.lit(0)).unionByName(cells_left.withColumn("__is_left", F.lit(1)))
-        # latest right row of any *earlier* bucket, per left cell
-        wc = (Window.partitionBy(*keys).orderBy(F.col("__b").asc(), F.col("__is_left").desc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-        carried = (cells.withColumn("__prev", F.last("__cell", ignorenulls=True).over(wc))
-                        .where(F.col("__is_left") == 1).select(*by, "__b", "__prev"))
-        u = L2.unionByName(R2, allowMissingColumns=True)
-        w = (Window.partitionBy(*keys, "__b").orderBy(_q(on).asc(), F.col("__side").asc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-        u = u.withColumn("__in", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
-        u = u.join(carried, on=[*by, "__b"], how="left")
-        u = u.withColumn("__hit", F.coalesce("__in", "__prev")).drop("__in", "__prev", "__b")
-    out = u.where(F.col("__side") == 1)
-    sel = [c for c in left.columns]
-    extra = [F.col("__hit.t").alias(f"{prefix}{on}")] + \
-            [F.col(f"__hit.c{i}").alias(f"{prefix}{c}") for i, c in enumerate(right_cols)]
-    return out.select(*[_q(c) for c in sel], *extra)
+    both = L.where(known).unionByName(R, allowMissingColumns=True).withColumn("__tie", F.monotonically_increasing_id())
+    ensure_shared_dir(left.sparkSession)
+    u = both.orderBy(*keys, _q(on), "__side", "__r", "__tie").drop("__tie").withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    u = u.withColumn("__part", F.shiftright("__id", 33)).withColumn("__key", F.struct(*keys))
+    inside = Window.partitionBy("__part", "__key").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("__in", F.last("__r", ignorenulls=True).over(inside))
+    # one row per partition: its first key asks for, and its last key offers, the latest right row
+    ends = u.groupBy("__part").agg(F.min_by("__key", "__id").alias("ask"), F.max_by(F.struct("__key", "__in"), "__id").alias("last"))
+    offers = ends.select("__part", F.col("last.__key").alias("__key"), F.col("last.__in").alias("tail"), F.lit(1).alias("offer"))
+    asks = ends.select("__part", F.col("ask").alias("__key"), F.lit(None).cast(kind).alias("tail"), F.lit(0).alias("offer"))
+    before = Window.partitionBy("__key").orderBy("__part", "offer").rowsBetween(Window.unboundedPreceding, -1)
+    enters = offers.unionByName(asks).withColumn("__prev", F.last("tail", ignorenulls=True).over(before))
+    enters = enters.where("offer = 0").select("__part", "__key", "__prev")
+    u = u.where("__side = 1").join(F.broadcast(enters), ["__part", "__key"], "left")  # a row per partition
+    u = u.withColumn("__hit", F.coalesce("__in", "__prev"))
+    lost = L.where(~F.coalesce(known, F.lit(False))).withColumn("__hit", F.col("__r"))
+    extra = [F.col("__hit.t").alias(f"{prefix}{on}")] + [F.col(f"__hit.c{i}").alias(f"{prefix}{c}") for i, c in enumerate(right_cols)]
+    cols = [*[_q(c) for c in left.columns], *extra]
+    return u.select(*cols).unionByName(lost.select(*cols))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
                bin_width: float, how: str = "inner") -> DataFrame:
-    """Rows of ``points`` joined to every range with ``lo ≤ point ≤ hi``.
-
-    Equi-join on bins instead of a nested loop: each range is copied into
-    the bins it covers (a range spanning k bins costs k rows), each point
-    lands in one bin, and the exact test runs after the hash join.  Pick
-    ``bin_width`` near the typical range length."""
-    b = F.lit(float(bin_width))
-    r = ranges.withColumn("__bin", F.explode(F.sequence(
-        F.floor(_q(lo).cast("double") / b).cast("long"), F.floor(_q(hi).cast("double") / b).cast("long"))))
-    p = points.withColumn("__bin", F.floor(_q(point).cast("double") / b).cast("long"))
-    cond = (p["__bin"] == r["__bin"]) & (p[point] >= r[lo]) & (p[point] <= r[hi])
-    return p.join(r, cond, how).drop(p["__bin"]).drop(r["__bin"])
+    """Rows of ``points`` joined to every range with ``lo ≤ point ≤ hi``;
+    ``how`` is inner, left, right or full.
+
+    Equi-join on bins instead of a nested loop.  A range lies on the level
+    whose bins (``bin_width`` times a power of two) are as wide as it, so it
+    touches two bins at most however wide it is; a point is listed once per
+    level in use.  The exact test runs after the join, and adaptive execution
+    splits a hot bin."""
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"Not a way to join: {how}")
+    p, r = points, ranges
+    if how != "inner":  # identities of the rows, fixed by writing them
+        p = written_once(points.withColumn("__p", F.monotonically_increasing_id()), "points")
+        r = written_once(ranges.withColumn("__g", F.monotonically_increasing_id()), "ranges")
+    wide, base = (_q(hi) - _q(lo)).cast("double"), float(bin_width)
+    level = F.when(wide <= base, 0).when(wide < float("inf"), F.ceil(F.log2(wide / base)).cast("int")).otherwise(-1)
+    binned = r.where(_q(lo) <= _q(hi)).withColumn("__level", level)
+    levels = [x[0] for x in binned.select("__level").distinct().collect()]  # one per doubling of the width
+
+    def place(x: Column) -> Column:
+        return F.when(F.col("__level") < 0, F.lit(0.0)).otherwise(F.floor(x.cast("double") / (F.lit(base) * F.pow(F.lit(2.0), F.col("__level")))).cast("double"))
+    binned = binned.withColumn("__bin", F.explode(F.array_distinct(F.array(place(_q(lo)), place(_q(hi))))))
+    listed = p.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__bin", place(_q(point)))
+    cond = (listed["__level"] == binned["__level"]) & (listed["__bin"] == binned["__bin"]) & \
+        (listed[point] >= binned[lo]) & (listed[point] <= binned[hi])
+    met = listed.join(binned, cond).drop(listed["__bin"], listed["__level"]).drop(binned["__bin"], binned["__level"])
+    if how == "inner":
+        return met
+    met = written_once(met, "met")
+    out = met
+    for side, own, ident in (("left", p, "__p"), ("right", r, "__g")):
+        if how in (side, "full"):
+            out = out.unionByName(own.join(met.select(ident), ident, "left_anti"), allowMissingColumns=True)
+    return out.drop("__p", "__g")

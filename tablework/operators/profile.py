@@ -87,13 +87,7 @@ def quartile_values(df: DataFrame, cols: list[str], probs=QUARTILES, approx: boo
                        for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    from tablework.operators.quantiles import IN_TASK_ROWS, exact_quantiles
-    if cols and df.count() <= IN_TASK_ROWS:
-        # proven small: one value map per column fits one task
-        row = df.agg(*[quantiles(clean_value(df, c), probs, False).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
+    from tablework.operators.quantiles import exact_quantiles
     return exact_quantiles(df, cols, list(probs))
 
 
@@ -106,9 +100,9 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, approx: bo
         v = clean_value(df, c).cast("double")
         aggs += [F.count(v).alias(f"{i}__count"), F.avg(v).alias(f"{i}__mean"),
                  F.stddev_samp(v).alias(f"{i}__std"), F.min(v).alias(f"{i}__min"), F.max(v).alias(f"{i}__max")]
-    from tablework.operators.quantiles import IN_TASK_ROWS, exact_quantiles
-    if approx or df.count() <= IN_TASK_ROWS:
-        qa = [quantiles(clean_value(df, c), QUARTILES, approx).alias(f"{i}__q") for i, c in enumerate(cols)]
+    from tablework.operators.quantiles import exact_quantiles
+    if approx:
+        qa = [quantiles(clean_value(df, c), QUARTILES, True).alias(f"{i}__q") for i, c in enumerate(cols)]
         row = df.agg(*aggs, *qa).first()
         qs = {c: (list(row[f"{i}__q"]) if row[f"{i}__q"] is not None else [None] * 3) for i, c in enumerate(cols)}
     else:
@@ -157,6 +151,11 @@ def frame_digest(df: DataFrame, n_columns: int = 3) -> DataFrame:
                            f"stack({len(cols)}, {args}) AS (`column`, `mean`, `min`, `max`)")
 
 
+def frame_preview(df: DataFrame, rows: int = 3, columns: int = 6) -> DataFrame:
+    """The first rows and columns, as shown beside the digest."""
+    return df.select(*[q(c) for c in df.columns[:columns]]).limit(rows)
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> dict:
     """Distinct non-null values per column, one aggregate."""
     if not columns:
@@ -166,31 +165,45 @@ def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) ->
     return {c: row[f"c{i}"] for i, c in enumerate(columns)}
 
 
+def _few_values(columns: int, most: int):
+    """Task: up to ``most + 1`` distinct values of each column, as (ordinal, value)."""
+    def run(batches):
+        import pyarrow as pa
+        found = [set() for _ in range(columns)]
+        for b in batches:
+            for i in range(columns):
+                if len(found[i]) <= most:
+                    found[i].update(b.column(i).drop_null().unique().to_pylist()[:most + 1])
+        rows = [(i, v) for i, s in enumerate(found) for v in list(s)[:most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())],
+                                         ["ordinal", "value"])
+    return run
+
+
+def small_columns(df: DataFrame, columns: list[str], most: int) -> list[str]:
+    """The columns with at most ``most`` distinct non-null values, exactly, in
+    one pass: a task hands on at most ``most + 1`` values of a column."""
+    if not columns:
+        return []
+    text = df.select(*[clean_value(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    found = text.mapInArrow(_few_values(len(columns), most), "ordinal int, value string")
+    large = found.groupBy("ordinal").agg(F.count_distinct("value").alias("n")).where(F.col("n") > most).select("ordinal")
+    gone = {r["ordinal"] for r in large.collect()}  # a row per column at most
+    return [c for i, c in enumerate(columns) if i not in gone]
+
+
 def pick_categorical(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx: bool = False) -> str | None:
     """First text column with ≤ ``max_distinct`` values; else the first text
-    column; else any column with ≤ ``max_distinct`` values.
-
-    Exact by default, at sketch cost: one pass of HyperLogLog counts for all
-    candidates, then exact distinct counts only for the columns whose sketch
-    lands near the threshold (no multi-column ``Expand`` of every row)."""
+    column; else any column with ≤ ``max_distinct`` values.  With
+    ``approx=True`` the distinct counts are sketches."""
     texts = text_columns(df)
     cands = texts if texts else df.columns
-    if not cands:
-        return None
-    sketch = distinct_counts(df, cands, approx=True)
-    counts = dict(sketch)
-    if not approx:
-        unsure = [c for c in cands if max_distinct * 0.7 <= sketch[c] <= max_distinct * 1.4]
-        counts.update(distinct_counts(df, unsure, approx=False))
-    if texts:
-        for c in texts:
-            if counts[c] <= max_distinct:
-                return c
-        return texts[0]
-    for c in df.columns:
-        if counts[c] <= max_distinct:
-            return c
-    return None
+    if approx:
+        counts = distinct_counts(df, cands, approx=True)
+        small = [c for c in cands if counts[c] <= max_distinct]
+    else:
+        small = small_columns(df, cands, max_distinct)
+    return (small + texts[:1] + [None])[0]
 
 
 def categorical_table(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Data-quality checks: schema, preflight and Tukey outliers.
 
-Preflight is two scans in total, however wide the table:
+Preflight is a few scans, however wide the table:
 
 * pass 1 — one ``agg``: row count, null count of every column, min/max and
   the two quartiles of every numeric column, failed date parses of every
@@ -137,7 +137,7 @@ def preflight(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame
     findings = []
     nums = numeric_columns(df)
     if stats.rows == 0:
-        findings.append(("empty", None, "error", 0.0, "Dataset is empty"))
+        findings.append(("empty", None, "error", 0.0, "The table has no rows"))
         metrics = spark.createDataFrame(
             [(0, len(df.columns), len(nums), 0, False)],
             "row_count long, column_count int, numeric_columns int, high_missing_columns int, valid boolean")
@@ -145,22 +145,22 @@ def preflight(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame
     high = [c for c in df.columns if stats.nulls[c] / stats.rows > MAX_MISSING_RATIO]
     for c in high:
         findings.append(("high_missing", c, "warning", stats.nulls[c] / stats.rows,
-                         f"Column {c} has more than {MAX_MISSING_RATIO:.0%} missing values"))
+                         f"{c}: over {MAX_MISSING_RATIO:.0%} of the values are missing"))
     for c, bad in stats.bad_dates.items():
         if bad:
             findings.append(("date_parse", c, "warning", float(bad),
-                             f"Column {c} appears to be a date but parsing may fail"))
+                             f"{c}: named like a date, with text that is none"))
     for c in nums:
         lo, hi = stats.minmax[c]
         if lo == hi:
-            findings.append(("constant", c, "warning", lo, f"Column {c} has constant values"))
+            findings.append(("constant", c, "warning", lo, f"{c}: one value in all rows"))
     if stats.rows > OUTLIER_MIN_ROWS:
         for c, n in outlier_counts(df, stats).items():
             if n > 0:
                 findings.append(("outliers", c, "warning", float(n),
-                                 f"Column {c} has {n} potential extreme outliers (IQR method)"))
+                                 f"{c}: {n} values beyond the quartile fences"))
     if stats.rows < MIN_ROWS:
-        findings.append(("min_rows", None, "error", float(stats.rows), "Too few rows"))
+        findings.append(("min_rows", None, "error", float(stats.rows), f"{stats.rows} rows, at least {MIN_ROWS} wanted"))
     valid = not any(f[2] == "error" for f in findings)
     metrics = spark.createDataFrame(
         [(int(stats.rows), len(df.columns), len(nums), len(high), valid)],
@@ -184,16 +184,16 @@ def validate_schema(df: DataFrame, required: list[str] | None = None,
     missing = [c for c in (required or []) if c not in df.columns]
     if missing:
         findings.append(("required_columns", ",".join(missing), "error", float(len(missing)),
-                         f"Missing required columns: {missing}"))
+                         f"Columns wanted and not there: {', '.join(missing)}"))
     actual = dict(df.dtypes)
     for c, want in (types or {}).items():
         if c in actual and not type_matches(want, actual[c]):
             findings.append(("column_type", c, "warning", None,
-                             f"Column {c} has type {actual[c]}, expected {want}"))
+                             f"{c}: {actual[c]} where {want} was wanted"))
     n = df.agg(F.count(F.lit(1))).first()[0]
     if n < MIN_ROWS:
         findings.append(("min_rows", None, "error", float(n),
-                         f"Dataset has {n} rows, minimum required: {MIN_ROWS}"))
+                         f"{n} rows, at least {MIN_ROWS} wanted"))
     valid = not any(f[2] == "error" for f in findings)
     return df.sparkSession.createDataFrame(findings, FINDING_SCHEMA), valid
 

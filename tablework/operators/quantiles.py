@@ -1,25 +1,19 @@
 """Exact quantiles (linear interpolation, as pandas ``quantile`` and SQL
-``quantile_cont``) that stay bounded at any table size.
+``quantile_cont``) by one path at any table size.
 
-Spark's exact ``percentile`` keeps one counter per distinct value and merges
-all of them in one task for a global result, which does not hold for a
-high-cardinality column at scale.  Here, for every (column, p):
+Spark's exact ``percentile`` merges one counter per distinct value in one
+task.  Here, for every (column, p):
 
 1. one aggregate for all columns: non-null count and a ``percentile_approx``
    sketch (rank error ≤ n / ``accuracy``) at ``p ± 3/accuracy`` → a value
    bracket that must hold the wanted ranks;
-2. one aggregate counts the values below and inside every bracket and checks
-   that the bracket holds the ranks (a bracket that does not is widened to
-   the whole column — still exact, only slower);
-3. brackets still holding many rows are narrowed by another sketch over their
-   own rows (one aggregate per round, all cells together);
-4. one scan emits the in-bracket values, grouped by value with counts
-   (map-side combined).  A bracket spans about ``6·n/accuracy`` ranks, so it
-   holds at most that many distinct values however many ties it has.  Up to
-   ``local_limit`` (value, count) pairs are brought to the driver; above that
-   the cumulative counts are taken on the cluster, one window per bracket.
-
-The answer is always exact; only the work depends on the sketch.
+2. one aggregate counts the values below and inside every bracket; a bracket
+   that does not hold its ranks becomes the whole column (exact, only slower);
+3. one scan emits the in-bracket values, grouped by value with counts
+   (combined per task), range-partitioned by (bracket, value).  Cumulative
+   counts are taken per partition and shifted by what the partitions before
+   hold, so no bracket is ever in one task; the driver gets the one or two
+   values per bracket that were asked for.
 """
 
 from __future__ import annotations
@@ -30,183 +24,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.operators.profile import clean_value
+from tablework.session import ensure_shared_dir
 
 DEFAULT_ACCURACY = 2000
-LOCAL_LIMIT = 200_000
-MAX_REFINE_ROUNDS = 3
-# Callers may use Spark's exact ``percentile`` (one value map per column,
-# merged in one task) when a count shows at most this many rows.
-IN_TASK_ROWS = 1_000_000
-
-
-def _ranks(n: int, p: float) -> tuple[int, int, float]:
-    pos = p * (n - 1)
-    lo = math.floor(pos)
-    return lo, min(lo + 1, n - 1) if pos > lo else lo, pos - lo
 
 
 def _clamp(x: float) -> float:
     return min(max(x, 0.0), 1.0)
 
 
-class _Cell:
-    __slots__ = ("col", "j", "n", "r_lo", "r_hi", "frac", "lo", "hi", "below", "within", "distinct_bound")
+class _Bracket:
+    """Ranks wanted of one column, and the value range that holds them."""
 
-    def __init__(self, col, j, n, p):
-        self.col, self.j, self.n = col, j, n
-        self.r_lo, self.r_hi, self.frac = _ranks(n, p)
-        self.lo = self.hi = None
-        self.below = self.within = None
-        self.distinct_bound = None
+    def __init__(self, col: str, place: int, n: int, p: float, lo: float, hi: float):
+        pos = p * (n - 1)
+        self.col, self.place, self.lo, self.hi = col, place, lo, hi
+        self.first = math.floor(pos)
+        self.second = min(self.first + 1, n - 1) if pos > self.first else self.first
+        self.share = pos - self.first
+        self.below = 0
 
-    def holds(self, below, within) -> bool:
-        return below <= self.r_lo and self.r_hi < below + within
+    def inside(self, v):
+        return (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
 
 
-def _in(v, cell):
-    return (v >= F.lit(cell.lo)) & (v <= F.lit(cell.hi))
+def _values_at(pairs: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """``{(cell, rank): value}`` of ``pairs`` (cell, v, cnt) in value order."""
+    spark = pairs.sparkSession
+    ensure_shared_dir(spark)
+    rows = pairs.repartitionByRange(F.col("cell"), F.col("v")).withColumn("part", F.spark_partition_id()).checkpoint()
+    sums = rows.groupBy("cell", "part").agg(F.sum("cnt").alias("all"))
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("cell", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("shift"))  # one row per bracket and partition
+    upto = Window.partitionBy("cell", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("cnt").over(upto)).join(sums, ["cell", "part"])
+    end = F.col("upto") + F.col("shift")
+    asked = spark.createDataFrame(sorted(set(wanted)), "cell int, rank long")
+    hits = rows.join(F.broadcast(asked), "cell").where((F.col("rank") < end) & (F.col("rank") >= end - F.col("cnt")))
+    return {(r["cell"], r["rank"]): r["v"] for r in hits.select("cell", "rank", "v").collect()}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY, local_limit: int = LOCAL_LIMIT,
-                    extra_aggs: list | None = None):
+                    accuracy: int = DEFAULT_ACCURACY, extra_aggs: list | None = None):
     """``{column: [quantile for p in probs]}`` (None for an empty column).
 
     ``extra_aggs`` are computed in the same first pass; when given, the
     result is ``(quantiles, first_pass_row)``."""
     out = {c: [None] * len(probs) for c in columns}
-    if not columns:
-        if extra_aggs:
-            return out, df.agg(*extra_aggs).first()
-        return out
     vals = {c: clean_value(df, c).cast("double") for c in columns}
     eps = 3.0 / accuracy
     edges = sorted({_clamp(p + d) for p in probs for d in (-eps, eps)})
-    pos = {e: i for i, e in enumerate(edges)}
-
-    # 1. counts, extremes and the sketch, one aggregate
-    aggs = []
+    at = {e: i for i, e in enumerate(edges)}
+    aggs = list(extra_aggs or [])
     for i, c in enumerate(columns):
         aggs += [F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"mn{i}"), F.max(vals[c]).alias(f"mx{i}"),
                  F.percentile_approx(vals[c], F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"a{i}")]
-    r1 = df.agg(*aggs, *(extra_aggs or [])).first()
-
-    def done(result):
-        return (result, r1) if extra_aggs else result
-    cells: list[_Cell] = []
-    for i, c in enumerate(columns):
-        n = r1[f"n{i}"]
-        if not n:
-            continue
-        for j, p in enumerate(probs):
-            cell = _Cell(c, j, n, p)
-            cell.lo, cell.hi = r1[f"a{i}"][pos[_clamp(p - eps)]], r1[f"a{i}"][pos[_clamp(p + eps)]]
-            cells.append(cell)
-    if not cells:
-        return done(out)
-
-    def count(cs):
-        ag = []
-        for k, cell in enumerate(cs):
-            v = vals[cell.col]
-            ag += [F.count_if(v < F.lit(cell.lo)).alias(f"b{k}"), F.count_if(_in(v, cell)).alias(f"w{k}")]
-        r = df.agg(*ag).first()
-        return [(r[f"b{k}"], r[f"w{k}"]) for k in range(len(cs))]
-
-    # 2. check the brackets
-    for cell, (b, w) in zip(cells, count(cells)):
-        if cell.holds(b, w):
-            cell.below, cell.within = b, w
-            # a sketch bracket spans at most ~8·n/accuracy ranks, so it holds
-            # at most that many distinct values, ties or not
-            cell.distinct_bound = min(w, 8 * cell.n // accuracy + 4)
-        else:
-            i = columns.index(cell.col)
-            cell.lo, cell.hi, cell.below, cell.within = r1[f"mn{i}"], r1[f"mx{i}"], 0, cell.n
-            cell.distinct_bound = cell.n
-
-    # 3. narrow brackets that still hold many rows (ties cannot be narrowed
-    #    and need not be: they collapse to one (value, count) pair)
-    per_cell = max(local_limit // len(cells), 1000)
-    for _ in range(MAX_REFINE_ROUNDS):
-        wide = [c for c in cells if c.distinct_bound > per_cell and c.lo != c.hi]
-        if not wide:
-            break
-        ag = []
-        for k, cell in enumerate(wide):
-            v = vals[cell.col]
-            q_lo = _clamp((cell.r_lo - cell.below) / cell.within - eps)
-            q_hi = _clamp((cell.r_hi - cell.below + 1) / cell.within + eps)
-            ag.append(F.percentile_approx(F.when(_in(v, cell), v), F.array(F.lit(q_lo), F.lit(q_hi)), accuracy)
-                      .alias(f"s{k}"))
-        r = df.agg(*ag).first()
-        trial = []
-        for k, cell in enumerate(wide):
-            nc = _Cell(cell.col, cell.j, cell.n, probs[cell.j])
-            nc.lo, nc.hi = r[f"s{k}"][0], r[f"s{k}"][1]
-            trial.append((cell, nc))
-        moved = False
-        for (cell, nc), (b, w) in zip(trial, count([nc for _, nc in trial])):
-            if nc.holds(b, w) and w < cell.within:
-                span = 8 * cell.within // accuracy + 4
-                cell.lo, cell.hi, cell.below, cell.within = nc.lo, nc.hi, b, w
-                cell.distinct_bound = min(w, span)
-                moved = True
-        if not moved:
-            break
-
-    # 4. a checked bracket with equal ends is the answer (ties); the others
-    #    emit their in-bracket values grouped by value, in one scan of the
-    #    rows that fall in some bracket
-    wanted = {}
-    for k, cell in enumerate(cells):
-        wanted[k] = (cell.r_lo - cell.below, cell.r_hi - cell.below)
-    picked: dict[int, dict[int, float]] = {}
-    open_cells = []
-    for k, cell in enumerate(cells):
-        if cell.lo == cell.hi:
-            picked[k] = {w: cell.lo for w in wanted[k]}
-        else:
-            open_cells.append(k)
-    if not open_cells:
-        return done(_finish(out, cells, wanted, picked))
-    conds = [_in(vals[cells[k].col], cells[k]) for k in open_cells]
-    any_in = conds[0]
-    for c in conds[1:]:
-        any_in = any_in | c
-    tagged = [F.when(cond, F.struct(F.lit(k).alias("cell"), vals[cells[k].col].alias("v")))
-              for k, cond in zip(open_cells, conds)]
-    grouped = (df.where(any_in).select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
-                 .groupBy(F.col("t.cell").alias("cell"), F.col("t.v").alias("v"))
-                 .agg(F.count(F.lit(1)).alias("cnt")))
-    bound = sum(cells[k].distinct_bound for k in open_cells)
-    if bound <= local_limit:
-        by_cell: dict[int, list] = {}
-        for row in grouped.collect():
-            by_cell.setdefault(row["cell"], []).append((row["v"], row["cnt"]))
-        for k, pairs in by_cell.items():
-            pairs.sort()
-            seen, want = 0, wanted[k]
-            for v, cnt in pairs:
-                for w in want:
-                    if seen <= w < seen + cnt:
-                        picked.setdefault(k, {})[w] = v
-                seen += cnt
-    else:
-        w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        cum = grouped.withColumn("upto", F.sum("cnt").over(w))
-        want_df = df.sparkSession.createDataFrame(
-            [(k, x) for k in open_cells for x in set(wanted[k])], "cell int, want long")
-        hits = (cum.join(F.broadcast(want_df), "cell")
-                   .where((F.col("want") >= F.col("upto") - F.col("cnt")) & (F.col("want") < F.col("upto"))))
-        for row in hits.select("cell", "want", "v").collect():
-            picked.setdefault(row["cell"], {})[row["want"]] = row["v"]
-
-    return done(_finish(out, cells, wanted, picked))
-
-
-def _finish(out, cells, wanted, picked):
-    for k, cell in enumerate(cells):
-        a, b = picked[k][wanted[k][0]], picked[k][wanted[k][1]]
-        out[cell.col][cell.j] = a + cell.frac * (b - a) if cell.frac else a
-    return out
+    if not aggs:
+        return out
+    row = df.agg(*aggs).first()
+    cells = [_Bracket(c, j, row[f"n{i}"], p, row[f"a{i}"][at[_clamp(p - eps)]], row[f"a{i}"][at[_clamp(p + eps)]])
+             for i, c in enumerate(columns) if row[f"n{i}"] for j, p in enumerate(probs)]
+    if cells:
+        counts = df.agg(*[x for k, b in enumerate(cells) for x in (
+            F.count_if(vals[b.col] < F.lit(b.lo)).alias(f"b{k}"), F.count_if(b.inside(vals[b.col])).alias(f"w{k}"))]).first()
+        for k, b in enumerate(cells):
+            b.below = counts[f"b{k}"]
+            if not b.below <= b.first <= b.second < b.below + counts[f"w{k}"]:
+                i = columns.index(b.col)
+                b.lo, b.hi, b.below = row[f"mn{i}"], row[f"mx{i}"], 0
+        open_cells = [(k, b) for k, b in enumerate(cells) if b.lo != b.hi]  # equal ends are the answer
+        picked = {}
+        if open_cells:
+            tagged = [F.when(b.inside(vals[b.col]), F.struct(F.lit(k).alias("cell"), vals[b.col].alias("v"))) for k, b in open_cells]
+            pairs = (df.select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
+                     .groupBy(F.col("t.cell").alias("cell"), F.col("t.v").alias("v")).agg(F.count(F.lit(1)).alias("cnt")))
+            picked = _values_at(pairs, [(k, r - b.below) for k, b in open_cells for r in (b.first, b.second)])
+        for k, b in enumerate(cells):
+            x, y = (picked[k, r - b.below] if b.lo != b.hi else b.lo for r in (b.first, b.second))
+            out[b.col][b.place] = x + b.share * (y - x) if b.share else x
+    return (out, row) if extra_aggs else out

@@ -47,7 +47,9 @@ def run_metrics(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
         ranked = rank_within_groups(valid, by, F.col("duration"), "pos")
         med = ranked.where(F.col("pos") == F.floor(F.col("group_rows") / 2)).select(
             *by, F.col("duration").alias("median_duration"))
-        out = base.join(med, on=by, how="left")
+        med = med.toDF(*[f"__{c}" for c in by], "median_duration")
+        same = [base[c].eqNullSafe(med[f"__{c}"]) for c in by]
+        out = base.join(med, on=same, how="left").drop(*[f"__{c}" for c in by])
     else:
         idx = with_row_index(valid.select("duration"), [F.col("duration").asc()], "pos")
         n = valid.agg(F.count(F.lit(1))).scalar()
@@ -202,10 +204,10 @@ def artifact_facts(spark, runs_dir: str) -> DataFrame:
 def postflight(facts: DataFrame) -> DataFrame:
     """Findings ``run_id, severity, message`` per run: missing required
     files and charts are errors, a short summary is a warning."""
-    checks = [(F.col(f"has_{n.split('.')[0]}") == F.lit(False), "error", f"Missing required file: {n}")
+    checks = [(F.col(f"has_{n.split('.')[0]}") == F.lit(False), "error", f"The run left no {n}")
               for n in REQUIRED_ARTIFACTS]
-    checks.append((F.col("charts") == 0, "error", "No chart files found in charts directory"))
-    checks.append((F.col("summary_chars") < SHORT_SUMMARY_CHARS, "warning", "Summary appears to be very short"))
+    checks.append((F.col("charts") == 0, "error", "The run left no chart"))
+    checks.append((F.col("summary_chars") < SHORT_SUMMARY_CHARS, "warning", f"The summary has under {SHORT_SUMMARY_CHARS} characters"))
     rows = F.array_compact(F.array(*[
         F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("message")))
         for c, sev, msg in checks]))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tablework.functions.dates import coerce_if_dates
 from tablework.operators.aggregate import top_n_sum
 from tablework.operators.ordinal import with_row_index
+from tablework.session import written_once
+from tablework.sources.scan import nan_to_null
 from tablework.operators.profile import (clean_value, first_numeric, numeric_columns,
                                          pick_categorical, q, quartile_values)
 
@@ -27,7 +29,9 @@ HEAT_SAMPLE_ROWS = 10
 def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
     """``x`` as a date when at least half of it parses; ``y`` summed per
     ``x`` (null ``x`` dropped); ascending by ``x``."""
-    d, _ = coerce_if_dates(df.select(q(x), q(y)), x, AXIS_DATE_SHARE)
+    # rows are grouped by the raw text; dates are parsed for the few distinct ones
+    raw = nan_to_null(df.select(q(x), q(y))).groupBy(q(x)).agg(F.sum(q(y)).alias(y), F.count(F.lit(1)).alias("__n"))
+    d, _ = coerce_if_dates(written_once(raw, "line"), x, AXIS_DATE_SHARE, weight="__n")
     return (d.where(q(x).isNotNull()).groupBy(q(x)).agg(F.sum(q(y)).alias(y))
              .orderBy(q(x).asc()))
 
@@ -37,7 +41,7 @@ def line_index_series(df: DataFrame, order_by: list[str], y: str | None = None)
     ``order_by`` order: ``index, <y>``."""
     y = y or first_numeric(df)
     if y is None:
-        raise ValueError("No numeric columns to plot")
+        raise ValueError("A line needs a numeric column")
     # row identity last: equal order keys still spread over range partitions
     base = df.select(*[q(c) for c in dict.fromkeys(order_by + [y])]).withColumn("__tie", F.monotonically_increasing_id())
     idx = with_row_index(base, [q(c).asc_nulls_last() for c in order_by] + [F.col("__tie").asc()], "index")
@@ -52,7 +56,7 @@ def bar_auto_series(df: DataFrame, top_n: int = DEFAULT_TOP_N, approx: bool = Fa
     """First categorical column by the first numeric one, summed."""
     cat, num = pick_categorical(df, approx=approx), first_numeric(df)
     if cat is None or num is None:
-        raise ValueError("Need a categorical and a numeric column for a bar chart")
+        raise ValueError("Bars need a categorical column and a numeric one")
     return top_n_sum(df, cat, num, top_n)
 
 
@@ -91,59 +95,83 @@ def box_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = Fa
 
 
 def box_outliers(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
-    """The rows outside the whiskers of ``column`` (fences as constants)."""
-    q1, _, q3 = _fence_row(df, [column], approx)[column]
+    """The rows outside the whiskers of ``column`` (fences as constants); none
+    if the column has no values."""
+    fences = _fence_row(df, [column], approx)[column]
+    if fences is None:
+        return df.limit(0)
+    q1, _, q3 = fences
     lo, hi = q1 - WHISKER_K * (q3 - q1), q3 + WHISKER_K * (q3 - q1)
     v = clean_value(df, column).cast("double")
     return df.where((v < F.lit(lo)) | (v > F.lit(hi)))
 
 
-def scatter_series(df: DataFrame, x: str, y: str, max_points: int | None = None) -> DataFrame:
+def scatter_series(df: DataFrame, x: str, y: str, fraction: float | None = None) -> DataFrame:
     """(x, y) pairs with both present; x kept as a date when it is one.
-    ``max_points`` takes a repeatable hash sample of about that many rows."""
+    ``fraction`` takes a repeatable sample of that share of the rows."""
     d, _ = coerce_if_dates(df.select(q(x), q(y)), x, AXIS_DATE_SHARE)
     d = d.where(q(x).isNotNull() & clean_value(d, y).isNotNull())
-    if max_points:
-        n = d.count()
-        if n > max_points:
-            keep = F.abs(F.xxhash64(q(x), q(y))) % F.lit(n) < F.lit(max_points)
-            d = d.where(keep)
-    return d
+    return d if fraction is None else d.sample(fraction, seed=17)
 
 
-def scatter_auto_series(df: DataFrame, max_points: int | None = None) -> DataFrame:
+def scatter_auto_series(df: DataFrame, fraction: float | None = None) -> DataFrame:
     nums = numeric_columns(df)
     if len(nums) < 2:
-        raise ValueError("Need at least two numeric columns for scatter")
-    return scatter_series(df, nums[0], nums[1], max_points)
-
-
-def pairwise_corr(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are present; null when either side is
-    constant (no division error)."""
-    both = a.isNotNull() & b.isNotNull()
-    return F.try_divide(F.covar_samp(a, b),
-                        F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b)))
+        raise ValueError("A scatter needs two numeric columns")
+    return scatter_series(df, nums[0], nums[1], fraction)
+
+
+def _pair_sums(n: int):
+    """Task: for every pair of columns, over its rows with both present, the
+    count, both means, both sums of squares and the sum of products about them.
+
+    Sums are taken about the first mean of the task, in matrix products."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        sums, shift = np.zeros((6, n, n)), None
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(n)], axis=1)
+            there = ~np.isnan(x)
+            if shift is None:
+                count = there.sum(0)
+                shift = np.where(count > 0, np.where(there, x, 0).sum(0) / np.maximum(count, 1), 0)
+            x, there = np.where(there, x - shift, 0), there.astype(float)
+            sums += [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
+        if shift is None:
+            return
+        k, sx, sy, sxx, syy, sxy = sums
+        d = np.maximum(k, 1)
+        out = [k, shift[:, None] + sx / d, shift[None, :] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d]
+        i, j = np.nonzero(k > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(o[i, j]) for o in out]],
+                                         ["i", "j", "n", "mx", "my", "xx", "yy", "xy"])
+    return run
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``col_a, col_b, corr`` for every ordered pair of numeric columns, from
-    one aggregate of the n·(n+1)/2 distinct pairs."""
+    """``col_a, col_b, corr`` for every ordered pair of numeric columns, over
+    rows where both are present; null if either side is constant.
+
+    One pass: a task folds its rows to a small matrix of centred sums, which
+    are merged about the common mean of each pair."""
     cols = columns if columns is not None else numeric_columns(df)
-    vals = {c: clean_value(df, c).cast("double") for c in cols}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(pairwise_corr(vals[a], vals[b]).alias(f"p{len(pairs)}"))
-            pairs.append((a, b))
-    wide = df.agg(*aggs)
-    args = []
-    for k, (a, b) in enumerate(pairs):
-        args.append(f"'{a}', '{b}', p{k}")
-        if a != b:
-            args.append(f"'{b}', '{a}', p{k}")
-    n = len(args)
-    return wide.selectExpr(f"stack({n}, {', '.join(args)}) AS (col_a, col_b, corr)")
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    values = df.select(*[clean_value(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = values.mapInArrow(_pair_sums(len(cols)), "i long, j long, n double, mx double, my double, xx double, yy double, xy double")
+    sums = written_once(sums, "pairs")  # columns squared rows a task
+    mean = sums.groupBy("i", "j").agg((F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ax"),
+                                      (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("ay"))
+    dx, dy, n = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay"), F.col("n")
+    whole = sums.join(mean, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = df.sparkSession.range(len(cols) ** 2).select(
+        F.floor(F.col("id") / len(cols)).alias("i"), (F.col("id") % len(cols)).alias("j"))
+    corr = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx")) / F.sqrt(F.col("yy")))
+    return pairs.join(whole, ["i", "j"], "left").select(
+        F.get(names, F.col("i").cast("int")).alias("col_a"), F.get(names, F.col("j").cast("int")).alias("col_b"), corr.alias("corr"))
 
 
 def heat_values(df: DataFrame) -> DataFrame:

@@ -176,11 +176,12 @@ SQL_QUERIES = [
                count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS k_sum
         FROM events GROUP BY 1"""),
     ("sql_maps", ["events"], """
-        SELECT event_id, m['type'] AS t, s.value AS v, map_keys(m) AS ks FROM (
+        SELECT event_id, m['type'] AS t, s.value AS v, array_join(map_keys(m), ',') AS ks FROM (
           SELECT event_id,
                  map_from_entries(array(struct('type' AS k, event_type AS v), struct('user' AS k, CAST(user_id AS STRING) AS v))) AS m,
                  struct(event_id, value) AS s
-          FROM events)""", None),
+          FROM events)""", """
+        SELECT event_id, event_type AS t, value AS v, 'type,user' AS ks FROM events"""),
     ("sql_pivot", ["lineitem"], """
         SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem)
         PIVOT (round(sum(l_quantity), 4) FOR l_linestatus IN ('O' AS open_qty, 'F' AS filled_qty))""", """
@@ -195,8 +196,10 @@ SQL_QUERIES = [
           UNPIVOT (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS nation FROM customer)
           ON c_acctbal, nation INTO NAME metric VALUE val)"""),
     ("sql_approx_distinct", ["lineitem"], """
-        SELECT l_returnflag, approx_count_distinct(l_partkey) AS approx_parts, count(DISTINCT l_partkey) AS exact_parts
-        FROM lineitem GROUP BY l_returnflag""", None),
+        SELECT l_returnflag, count(DISTINCT l_partkey) AS exact_parts,
+               abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS near
+        FROM lineitem GROUP BY l_returnflag""", """
+        SELECT l_returnflag, count(DISTINCT l_partkey) AS exact_parts, true AS near FROM lineitem GROUP BY l_returnflag"""),
 ]
 
 
@@ -210,10 +213,16 @@ def register(reg):
     for name, tables, sql, oracle in SQL_QUERIES:
         reg.add(name, (sql if oracle is SAME else oracle))(_make(tables, sql))
 
-    @reg.add("sql_sample")
+    @reg.add("sql_sample", """
+        SELECT l_returnflag, count(*) AS all_rows, true AS near FROM lineitem GROUP BY l_returnflag""")
     def sql_sample(spark, sf):
-        """Bernoulli sample with a fixed seed (the sample is the feature)."""
-        return table(spark, sf, "lineitem").sample(fraction=0.1, seed=42).select("l_orderkey", "l_linenumber")
+        """Bernoulli sample with a fixed seed (the sample is the feature): its
+        size per flag lies within five standard deviations of a tenth."""
+        items = table(spark, sf, "lineitem").select("l_returnflag")
+        taken = items.sample(fraction=0.1, seed=42).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("taken"))
+        whole = items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("all_rows")).join(taken, "l_returnflag", "left")
+        away = F.abs(F.coalesce("taken", F.lit(0)) - 0.1 * F.col("all_rows"))
+        return whole.select("l_returnflag", "all_rows", (away <= 5 * F.sqrt(0.09 * F.col("all_rows"))).alias("near"))
 
     @reg.add("asof_join", """
         WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
@@ -224,7 +233,7 @@ def register(reg):
         ev = table(spark, sf, "events")
         p = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
         v = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
-        out = asof_join(p, v, ["user_id"], "ts", ["event_id", "value"], bucket_seconds=6 * 3600)
+        out = asof_join(p, v, ["user_id"], "ts", ["event_id", "value"])
         return rounded(as_double(out.select("event_id", "asof_ts", "asof_event_id", "asof_value"), "asof_event_id"))
 
     @reg.add("sql_join_range", """

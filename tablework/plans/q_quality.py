@@ -80,7 +80,16 @@ def register(reg):
             raise AssertionError(f"preflight missed the mostly-null column: {checks}")
         return metrics
 
-    @reg.add("dq_schema")
+    @reg.add("dq_schema", """
+        WITH have AS (SELECT column_name, lower(column_type) AS kind FROM (DESCRIBE lineitem)),
+             gone AS (SELECT c FROM (VALUES ('l_orderkey'), ('no_such_column')) w(c) WHERE c NOT IN (SELECT column_name FROM have)),
+             odd AS (SELECT c, kind, want FROM have JOIN (VALUES ('l_quantity', 'float', 'float|double|decimal.*'),
+                       ('l_orderkey', 'object', 'string|varchar'), ('l_tax', 'float', 'float|double|decimal.*')) w(c, want, fits)
+                     ON column_name = c WHERE NOT regexp_full_match(kind, fits))
+        SELECT 'required_columns' AS "check", string_agg(c, ',') AS "column", 'error' AS severity, CAST(count(*) AS DOUBLE) AS value,
+               'Columns wanted and not there: ' || string_agg(c, ', ') AS message FROM gone HAVING count(*) > 0
+        UNION ALL SELECT 'column_type', c, 'warning', NULL, c || ': ' || kind || ' where ' || want || ' was wanted' FROM odd
+        UNION ALL SELECT 'min_rows', NULL, 'error', 0, '0 rows, at least 1 wanted' WHERE (SELECT count(*) FROM lineitem) = 0""")
     def dq_schema(spark, sf):
         findings, _ = Q.validate_schema(table(spark, sf, "lineitem"),
                                         required=["l_orderkey", "no_such_column"],

@@ -76,6 +76,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "tablework", *parts, uuid.uuid4().hex[:12]])
 
 
+def written_once(df, name: str):
+    """``df`` written as Parquet to the shared folder and read back: for a
+    small result that several frames derive from."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_small(big, small, on, how: str = "inner", null_safe: bool = False):
     """Join ``small`` to ``big``.  The small side is checkpointed to the shared
     folder first, so it is computed once and its size in bytes is known; the

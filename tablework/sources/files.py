@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,8 @@ from tablework.sources.scan import SUPPORTED, UnsupportedSource, read_source, so
 # Result frames are named by the first 12 hex digits of the
 # SHA-1 of the query text.
 RESULT_HASH_CHARS = 12
-# Files larger than this are not hashed whole (one file is one row in
-# ``binaryFile``); use ``fingerprint_rows`` for tables.
-MAX_HASH_BYTES = 1 << 30
+# Bytes of a file that a task holds at once while hashing it.
+CHUNK_BYTES = 8 << 20
 
 
 def result_name(query: str) -> str:
@@ -43,7 +43,7 @@ def ingest_dataset(spark: SparkSession, src_path: str, data_dir: str, dataset_id
     (id = file stem); other formats are refused before any read."""
     fmt = source_format(src_path)
     if fmt not in SUPPORTED:
-        raise UnsupportedSource(f"Unsupported source: {src_path}")
+        raise UnsupportedSource(f"Neither CSV nor Parquet: {src_path}")
     stem = dataset_id or src_path.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
     out = f"{data_dir.rstrip('/')}/{stem}.parquet"
     read_source(spark, src_path).write.mode("overwrite").parquet(out)
@@ -51,27 +51,32 @@ def ingest_dataset(spark: SparkSession, src_path: str, data_dir: str, dataset_id
 
 
 def file_listing(spark: SparkSession, data_dir: str, pattern: str = "*.{csv,parquet}") -> DataFrame:
-    """``path, length, modificationTime`` of the files in ``data_dir``.  The
+    """``path, dataset, length, modificationTime`` of the files of the datasets
+    in ``data_dir``.  A dataset is a file or a directory there, named by
+    ``dataset``; files whose names say they are hidden are left out.  The
     ``content`` column is never selected, so no file body is read."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-                 .load(data_dir).select("path", "length", "modificationTime"))
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+             .load(data_dir).select("path", "length", "modificationTime"))
+    inside = F.substring_index(F.col("path"), "/" + data_dir.rstrip("/").split("/")[-1] + "/", -1)
+    listed = found.withColumn("inside", inside).withColumn("dataset", F.substring_index("inside", "/", 1))
+    return listed.where(~F.col("inside").rlike(r"(^|/)[._]")).select("path", "dataset", "length", "modificationTime")
 
 
 def dataset_catalog(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``dataset_id, filename, rows (null), columns, size_bytes, upload_time``.
-
-    Sizes and times come from one distributed listing; column names come
-    from each dataset's schema (footer or header only)."""
-    listing = file_listing(spark, data_dir).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
-        F.col("length").alias("size_bytes"),
-        (F.unix_micros(F.col("modificationTime")) / 1e6).alias("upload_time"))
-    names = [r["filename"] for r in listing.select("filename").collect()]
+    """``dataset_id, filename, rows (null), columns, size_bytes, upload_time``
+    of every dataset, file or directory.
+
+    Sizes and times come from one distributed listing; column names from one
+    schema read per dataset (footer or header only)."""
+    listing = file_listing(spark, data_dir).groupBy(F.col("dataset").alias("filename")).agg(
+        F.sum("length").alias("size_bytes"), (F.unix_micros(F.max("modificationTime")) / 1e6).alias("upload_time"))
+    listing = listing.where(F.col("filename").rlike(r"\.(csv|parquet)$"))
+    names = [r["filename"] for r in listing.select("filename").collect()]  # datasets, not files
     cols = []
     for n in names:
         try:
             cols.append((n, read_source(spark, f"{data_dir.rstrip('/')}/{n}").columns))
-        except Exception:  # noqa: BLE001 - unreadable files stay listed without columns
+        except AnalysisException:  # unreadable datasets stay listed without columns
             cols.append((n, None))
     col_df = spark.createDataFrame(cols, "filename string, columns array<string>")
     return (listing.join(col_df, "filename", "left")
@@ -80,15 +85,33 @@ def dataset_catalog(spark: SparkSession, data_dir: str) -> DataFrame:
                            "size_bytes", "upload_time"))
 
 
+def _hash_files(batches):
+    """Task: SHA-256 of each file, read in chunks."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    for b in batches:
+        out = []
+        for path in b.column(0).to_pylist():
+            if "://" in path:
+                fs, path = pafs.FileSystem.from_uri(path)
+            else:
+                fs, path = pafs.LocalFileSystem(), path.removeprefix("file:")
+            digest = hashlib.sha256()
+            with fs.open_input_stream(path) as f:
+                while chunk := f.read(CHUNK_BYTES):
+                    digest.update(chunk)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out, pa.string())],
+                                         ["dataset", "filename", "size_bytes", "sha256"])
+
+
 def fingerprint_files(spark: SparkSession, data_dir: str, pattern: str = "*.parquet") -> DataFrame:
-    """SHA-256 (64 hex) of each file's bytes, one task per file.  Files over
-    ``MAX_HASH_BYTES`` get a null hash and ``hashed = false``."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(data_dir)
-    small = F.col("length") <= F.lit(MAX_HASH_BYTES)
-    return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
-                     F.col("length").alias("size_bytes"),
-                     F.when(small, F.sha2(F.col("content"), 256)).alias("sha256"),
-                     small.alias("hashed"))
+    """``dataset, filename, size_bytes, sha256`` (64 hex) of every file of the
+    datasets in ``data_dir``; a task streams a file, of any size, in chunks."""
+    files = file_listing(spark, data_dir, pattern).select(
+        F.col("path"), "dataset", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"))
+    return files.repartition(F.col("path")).mapInArrow(_hash_files, "dataset string, filename string, size_bytes long, sha256 string")
 
 
 def fingerprint_rows(df: DataFrame) -> DataFrame:
@@ -133,9 +156,9 @@ def steps_of_traces(traces: DataFrame) -> DataFrame:
                     F.coalesce(F.col("s.result.group_by"), F.array().cast("array<string>")).alias("group_by"),
                     F.coalesce(F.col("s.result.metrics"), F.array().cast("array<string>")).alias("metrics"),
                     F.col("s.result.chart_type").alias("chart_type"),
-                    F.col("s.result.computed_values.result_count").alias("result_count"),
+                    F.coalesce("s.result.computed_values.result_count", "s.result.rows").alias("result_count"),
                     F.col("s.result.query").alias("query"),
-                    F.array().cast("array<string>").alias("columns"))
+                    F.coalesce(F.from_json("s.result.columns", "array<string>"), F.array().cast("array<string>")).alias("columns"))
 
 
 def append_trace(df: DataFrame, path: str) -> None:

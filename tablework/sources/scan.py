@@ -51,7 +51,7 @@ def source_format(path: str) -> str:
     for fmt in SUPPORTED:
         if low.endswith("." + fmt):
             return fmt
-    raise UnsupportedSource(f"Unsupported source: {path}")
+    raise UnsupportedSource(f"Neither CSV nor Parquet: {path}")
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +73,7 @@ def resolve_dataset(spark: SparkSession, data_dir: str, dataset_id: str) -> str:
         p = f"{data_dir.rstrip('/')}/{dataset_id}.{fmt}"
         if _exists(spark, p):
             return p
-    raise DatasetNotFound(f"Dataset not found: {dataset_id}")
+    raise DatasetNotFound(f"No dataset is named {dataset_id}")
 
 
 def dataset_exists(spark: SparkSession, data_dir: str, dataset_id: str) -> bool:
@@ -115,8 +115,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def sample_schema(df: DataFrame, rows: int = 1000) -> list[tuple[str, str]]:
-    """Column types as read from the first ``rows`` rows (parquet: schema)."""
-    return df.limit(rows).dtypes

@@ -79,6 +79,11 @@ def test_resolve_ingest_catalog_and_fingerprints(spark):
     assert load_dataset(spark, store, "upload").count() == 2
     cat = S.dataset_catalog(spark, d).first()
     assert (cat["dataset_id"], cat["columns"], cat["rows"]) == ("upload", ["a", "b"], None)
+    parts = S.fingerprint_files(spark, store).collect()
+    assert parts and {p["dataset"] for p in parts} == {"upload.parquet"}
+    for p in parts:
+        body = open(os.path.join(store, "upload.parquet", p["filename"]), "rb").read()
+        assert (p["size_bytes"], p["sha256"]) == (len(body), hashlib.sha256(body).hexdigest())
     fp = S.fingerprint_files(spark, d, "*.csv").first()
     assert fp["sha256"] == hashlib.sha256(open(src, "rb").read()).hexdigest()
 
@@ -112,9 +117,9 @@ def test_postflight_and_criteria(spark):
         open(os.path.join(d, rel), "w").write(body)
     facts = R.artifact_facts(spark, d)
     found = sorted((r["run_id"], r["severity"], r["message"]) for r in R.postflight(facts).collect())
-    assert found == [("r2", "error", "Missing required file: analysis.ipynb"),
-                     ("r2", "error", "No chart files found in charts directory"),
-                     ("r2", "warning", "Summary appears to be very short")]
+    assert found == [("r2", "error", "The run left no analysis.ipynb"),
+                     ("r2", "error", "The run left no chart"),
+                     ("r2", "warning", "The summary has under 50 characters")]
     crit = spark.createDataFrame([("r1", "Chart saved"), ("r2", "chart saved"), ("r2", "summary written"),
                                   ("r2", "notebook built"), ("r2", "numbers grounded")], "run_id string, criterion string")
     got = {(r["run_id"], r["criterion"]): r["met"] for r in R.criteria_met(crit, facts).collect()}

@@ -46,19 +46,43 @@ def _brute_asof(left, right):
     return out
 
 
-@pytest.mark.parametrize("bucket", [None, 3600, 60, "auto"])
-def test_asof_join_matches_brute_force(spark, bucket):
+@pytest.mark.parametrize("span", [20000, 40, 1])
+def test_asof_join_matches_brute_force(spark, span):
     rnd = random.Random(3)
     t0 = dt.datetime(2024, 1, 1)
-    left = [(i, rnd.randint(0, 3), t0 + dt.timedelta(seconds=rnd.randint(0, 20000))) for i in range(200)]
-    right = [(1000 + i, rnd.choice([0, 0, 0, 1, 2]), t0 + dt.timedelta(seconds=rnd.randint(0, 20000)), float(i))
+    left = [(i, rnd.randint(0, 3), t0 + dt.timedelta(seconds=rnd.randint(0, span))) for i in range(200)]
+    right = [(1000 + i, rnd.choice([0, 0, 0, 1, 2]), t0 + dt.timedelta(seconds=rnd.randint(0, span)), float(i))
              for i in range(300)]
     L = spark.createDataFrame(left, "id long, u long, ts timestamp_ntz")
     Rt = spark.createDataFrame(right, "rid long, u long, ts timestamp_ntz, v double")
-    got = {r["id"]: r["asof_rid"] for r in asof_join(L, Rt, ["u"], "ts", ["rid", "v"], bucket_seconds=bucket).collect()}
+    got = {r["id"]: r["asof_rid"] for r in asof_join(L, Rt, ["u"], "ts", ["rid", "v"]).collect()}
     assert got == _brute_asof(left, right)
 
 
+def test_asof_join_with_null_keys_and_times(spark):
+    t = [dt.datetime(2024, 1, 1, h) for h in range(5)]
+    L = spark.createDataFrame([(1, 7, t[2]), (2, None, t[2]), (3, 7, None), (4, 7, t[0]), (5, 8, t[4])], "id long, u long, ts timestamp_ntz")
+    R = spark.createDataFrame([(10, 7, t[1]), (11, 7, t[1]), (12, None, t[1]), (13, 7, None), (14, 7, t[3])], "rid long, u long, ts timestamp_ntz")
+    got = {r["id"]: r["asof_rid"] for r in asof_join(L, R, ["u"], "ts", ["rid"]).collect()}
+    assert got == {1: 11, 2: None, 3: None, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_range_join_kinds_and_wide_ranges(spark, how):
+    pts = [(i, float(i)) for i in range(-3, 30)] + [(99, None)]
+    rngs = [(0, 2.0, 2.0), (1, -1e9, 1e9), (2, 5.0, 4.0), (3, 0.5, 17.25), (4, None, 3.0), (5, 28.0, float("inf")), (6, 500.0, 501.0)]
+    P = spark.createDataFrame(pts, "pid long, x double")
+    G = spark.createDataFrame(rngs, "rid long, lo double, hi double")
+    got = sorted(((r["pid"], r["rid"]) for r in range_join(P, G, "x", "lo", "hi", 2.0, how).collect()), key=str)
+    hits = [(p, r) for p, x in pts for r, lo, hi in rngs if None not in (x, lo, hi) and lo <= x <= hi]
+    want = list(hits)
+    if how in ("left", "full"):
+        want += [(p, None) for p, _ in pts if p not in {h[0] for h in hits}]
+    if how in ("right", "full"):
+        want += [(None, r) for r, _, _ in rngs if r not in {h[1] for h in hits}]
+    assert got == sorted(want, key=str)
+
+
 def test_range_join_matches_brute_force(spark):
     pts = [(i, float(i) * 0.7) for i in range(100)]
     rngs = [(j, float(j * 5), float(j * 5 + 12)) for j in range(15)]
