@@ -9,7 +9,7 @@ overlap and cover the whole text; a document scores as its worst window.
 The network is trained in numpy, on the driver, on a bounded sample: about
 ``TRAIN_DOCS`` labelled documents of each label, of at most ``TRAIN_CHARS``
 characters.  Labels are of documents, so a step learns from the worst window
-of each.  Scoring runs in Spark tasks, all windows of a block of texts at once.
+of each, and takes as many of either label.  Scoring runs in Spark tasks, all windows of a block of texts at once.
 """
 
 from __future__ import annotations
@@ -27,8 +27,15 @@ WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.3
 WORD_ROWS, CHAR_ROWS, EMBED = 1 << 14, 1 << 13, 8
 HIDDEN, ATTEND = 8, 8
-TRAIN_DOCS, TRAIN_CHARS = 1200, 6000
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+TRAIN_DOCS, TRAIN_CHARS = 1200, 4000
+#: Words of fewer training texts have no embedding of their own, only their trigrams'.
+LEAST_TEXTS = 4
+#: Training steps, documents in one (half of each label), first learning rate.
+STEPS, BATCH, RATE = 300, 32, 0.01
+#: Share of the steps that learn from windows taken at random.
+EXPLORE = 0.5
+#: Weight decay of the embeddings, times the learning rate.
+DECAY = 0.2
 
 
 def held_out(key: Column) -> Column:
@@ -80,13 +87,15 @@ class Network:
         for d in "fb":
             self.p |= {"w" + d: f(e, 3 * h, k=.4), "u" + d: f(h, 3 * h, k=.4), "c" + d: np.zeros(3 * h, np.float32)}
         self.prior = 0.0
+        self.known = np.ones(WORD_ROWS, bool)  # rows of words that several training texts have
 
     def inputs(self, t: Texts) -> np.ndarray:
         """Embedding of each distinct word."""
         if not len(t.hash):
             return np.zeros((0, 2 * EMBED), np.float32)
         chars = np.add.reduceat(self.p["char"][t.gram], np.cumsum(t.grams) - t.grams, axis=0) / t.grams[:, None]
-        return np.concatenate((self.p["word"][t.row_id], chars), 1).astype(np.float32)
+        word = np.where(self.known[t.row_id, None], self.p["word"][t.row_id], 0)
+        return np.concatenate((word, chars), 1).astype(np.float32)
 
     def layer(self, d: str, x: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
         """States (T, B, H) of one direction; x: input parts of the gates (B, T, 3H)."""
@@ -160,7 +169,7 @@ class Network:
             dwords += by_word @ p["w" + d].T
         used = np.unique(k["ids"])
         word, char = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(word, t.row_id[used], dwords[used, :EMBED])
+        np.add.at(word, t.row_id[used], np.where(self.known[t.row_id[used], None], dwords[used, :EMBED], 0))
         first = np.cumsum(t.grams) - t.grams
         size = t.grams[used]
         at = np.repeat(first[used] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -169,35 +178,39 @@ class Network:
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 11) -> None:
         rng, moments = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step, weight = 0, labels.mean() if len(labels) else 0
-        for epoch in range(EPOCHS if 0 < weight < 1 else 0):
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                some = order[at:at + BATCH]
-                col = pa.array([texts[i] for i in some], pa.large_string())
-                t = Texts(*C.buffers(col))
-                if not len(t.index):
-                    continue
-                words = self.inputs(t)
-                z = self.logits(t.word, t.index, t.mask, words)
-                # the worst window of each row, and of rows of label 0 another one
-                best = np.lexsort((-z, t.window_row))
-                first = np.concatenate(([True], t.window_row[best][1:] != t.window_row[best][:-1]))
-                pick = best[first]
-                clean = np.flatnonzero(labels[some][t.window_row] == 0)
-                if len(clean):
-                    pick = np.concatenate((pick, rng.choice(clean, min(len(clean), BATCH // 2), replace=False)))
-                keep: dict = {}
-                z = self.logits(t.word, t.index[pick], t.mask[pick], words, keep)
-                y = labels[some][t.window_row[pick]]
-                g = ((_sigmoid(z) - y) / len(pick)).astype(np.float32)
-                step += 1
-                rate = RATE * (1 - 0.9 * (epoch * len(order) + at) / (EPOCHS * len(order)))
-                for k, d in self.gradients(g, words, keep, t).items():
-                    m, v = moments[k]
-                    m += 0.1 * (d - m)
-                    v += 0.005 * (d * d - v)
-                    self.p[k] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.995 ** step)) + 1e-8)).astype(np.float32)
+        sides = [np.flatnonzero(labels == y) for y in (0, 1)]
+        seen = np.zeros(WORD_ROWS, np.int64)
+        for text in texts:
+            seen[np.unique(Texts(*C.buffers(pa.array([text], pa.large_string()))).row_id)] += 1
+        self.known = seen >= LEAST_TEXTS
+        for step in range(1, STEPS + 1 if all(map(len, sides)) else 1):
+            some = np.concatenate([rng.choice(x, BATCH // 2) for x in sides])
+            col = pa.array([texts[i] for i in some], pa.large_string())
+            t = Texts(*C.buffers(col))
+            if not len(t.index):
+                continue
+            words = self.inputs(t)
+            z = self.logits(t.word, t.index, t.mask, words)
+            # the worst window of each row, and of rows of label 0 another one; at first any window,
+            # so that what is learned is what many windows of label 1 share
+            best = np.lexsort((-z if step > STEPS * EXPLORE else rng.random(len(z)), t.window_row))
+            first = np.concatenate(([True], t.window_row[best][1:] != t.window_row[best][:-1]))
+            pick = best[first]
+            clean = np.flatnonzero(labels[some][t.window_row] == 0)
+            if len(clean):
+                pick = np.concatenate((pick, rng.choice(clean, min(len(clean), BATCH // 2), replace=False)))
+            keep: dict = {}
+            z = self.logits(t.word, t.index[pick], t.mask[pick], words, keep)
+            y = labels[some][t.window_row[pick]]
+            g = ((_sigmoid(z) - y) / len(pick)).astype(np.float32)
+            rate = RATE * (1 - 0.9 * step / STEPS)
+            for k, d in self.gradients(g, words, keep, t).items():
+                m, v = moments[k]
+                m += 0.1 * (d - m)
+                v += 0.005 * (d * d - v)
+                if k in ("word", "char"):
+                    self.p[k] *= 1 - rate * DECAY
+                self.p[k] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.995 ** step)) + 1e-8)).astype(np.float32)
 
     def score(self, data: np.ndarray, off: np.ndarray, most: int = 4096) -> np.ndarray:
         """Largest window probability of each row; rows without words get the prior."""
@@ -227,6 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.where(F.length("text") <= TRAIN_CHARS).join(chosen, "k").dropDuplicates(["k"]).toArrow().sort_by("k")
     y = rows.column("y").to_numpy().astype(np.float32)
     network.fit(rows.column("text").to_pylist(), y)
+    if 0 < network.prior < 1:  # both labels were shown equally often
+        network.p["b"] += np.float32(np.log(network.prior / (1 - network.prior)))
     if not len(y) or y.min() == y.max():
         network.p["o"][:] = 0
         network.p["b"][0] = np.log(max(network.prior, 1e-6) / max(1 - network.prior, 1e-6))
@@ -237,7 +252,7 @@ def _score_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
         for b in batches:
-            out = [network.score(data, off) for _, _, data, off in C.blocks(b.column(1), C.BLOCK_BYTES // 4)]
+            out = [network.score(data, off) for _, _, data, off in C.blocks(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *out]).astype(float))], ["doc_id", "score"])
     return run
 
@@ -249,6 +264,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     learned from.  Rows with null or repeated ids get a row each; an empty
     table gives none.  Other columns are ignored.
     """
+    C.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return frame.mapInArrow(_score_task(shared), "doc_id long, score double")
