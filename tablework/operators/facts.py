@@ -140,8 +140,7 @@ def topn_facts(agg: DataFrame, keys: list[str], metric: str, n: int | None = Non
     agg = written_once(nan_to_null(agg.select(*[q(c) for c in [*keys, metric]])), "groups")
     v = q(metric)
     order = [v.asc_nulls_last() if smallest_first else v.desc_nulls_last()] + [q(k).asc_nulls_last() for k in keys]
-    both = agg.agg(F.sum(v).alias("t"), F.count(F.lit(1)).alias("g")).first()
-    total = {"t": F.lit(both["t"]), "g": F.lit(both["g"])}
+    total = {"t": agg.agg(F.sum(v)).scalar(), "g": agg.agg(F.count(F.lit(1))).scalar()}
     r = _ranked(agg, order, show)
     share = F.try_divide(v.cast("double"), total["t"]) * 100
     top_total = F.sum(v).over(Window.partitionBy())  # at most N rows here

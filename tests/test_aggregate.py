@@ -142,7 +142,7 @@ def test_metric_alias_after_a_cast_and_missing_columns(spark):
 
 def test_report_reads_its_input_once(spark, tmp_path):
     src = str(tmp_path / "t")
-    spark.range(1000).selectExpr("id % 7 AS k", "id * 1.0 AS v", "id % 3 AS w").write.parquet(src)
+    spark.range(1000).selectExpr("id % 7 AS k", "CAST(id AS DOUBLE) AS v", "id % 3 AS w").write.parquet(src)
     seen = spark.sparkContext.accumulator(0)
 
     def count(batches):
