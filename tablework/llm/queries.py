@@ -42,7 +42,7 @@ def level_packing(spark, sf_dir):
 JACCARD_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+           'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 n AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ')]
         ELSE list_distinct([list_aggregate(ws[i:i + 4], 'string_agg', ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
 c AS (SELECT doc_id, len(sh) AS n FROM n),

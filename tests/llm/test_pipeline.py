@@ -3,6 +3,7 @@ import re
 
 import brute
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -21,7 +22,7 @@ def test_sql_agrees(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = E.queries()[name](spark, sf).toPandas()
     want = con.execute(E.oracle_sql()[name]).df()[list(got.columns)]
-    rows = lambda f: sorted(tuple("None" if x is None or x != x else str(int(x) if isinstance(x, float) else x) for x in r)
+    rows = lambda f: sorted(tuple("None" if pd.isna(x) else str(int(x) if isinstance(x, float) else x) for x in r)
                             for r in f.astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
