@@ -16,6 +16,7 @@ which need no padding.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,17 +36,24 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 class Tokens:
     """Ids of texts under a byte-level BPE vocabulary in rank form (the ids are
-    those of the vocabulary's JSON form; special strings are ordinary text)."""
+    those of the vocabulary's JSON form; ``special`` has the strings that are
+    one id wherever they stand)."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encode(text), "<u4")
+        return np.array(self.encode(text, allowed_special="all"), "<u4")
+
+
+def special_ids(json_path: str) -> dict[str, int]:
+    """The added strings of a vocabulary's JSON form with their ids."""
+    with open(json_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 class LevelPacker:
@@ -128,11 +136,11 @@ class LevelPacker:
         yield from self._pour(last=True)
 
 
-def _pack_task(ranks_path: str, pattern: str, window: int):
+def _pack_task(ranks_path: str, pattern: str, special: dict[str, int], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, packer = Tokens(ranks_path, pattern), LevelPacker(window)
+        tokens, packer = Tokens(ranks_path, pattern, special), LevelPacker(window)
         end = np.array([END_ID], "<u4")
         number = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -166,7 +174,7 @@ def _pack_task(ranks_path: str, pattern: str, window: int):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-         ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+         ranks_path: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, sequence_length.
 
@@ -178,6 +186,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     C.bounded_batches(docs.sparkSession)
     if ranks_path is None:
         import public_tokenizers as P
-        ranks_path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+        ranks_path, pattern, special = P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special_ids(P.path("byte_bpe_50k.json"))
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(_pack_task(ranks_path, pattern, window), SCHEMA)
+    return frame.mapInArrow(_pack_task(ranks_path, pattern, special or {}, window), SCHEMA)

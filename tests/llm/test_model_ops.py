@@ -98,6 +98,20 @@ def test_packing_is_a_round_trip(spark, sf, messy):
     assert level_packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_knows_the_special_string(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "日本<|endoftext|>  語 "]
+    rows = level_packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    tokens = level_packing.Tokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, level_packing.special_ids(P.path("byte_bpe_50k.json")))
+    assert tokens.ids(texts[0]).tolist() == [64, 50256, 65]
+    for r in rows:
+        ids = np.array(plain.encode(texts[r.doc_id], add_special_tokens=False).ids + [1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    assert {r.doc_id for r in rows} == set(range(len(texts)))
+
+
 def test_level_packer_minimises_the_sum_of_squares():
     rng = np.random.default_rng(6)
     p = level_packing.LevelPacker(32, max_open=20)
