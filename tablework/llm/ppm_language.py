@@ -7,12 +7,12 @@ over total plus distinct) and then its price in the next shorter context,
 where the bytes already seen above are excluded, down to a uniform code.  The
 language with the shortest code for the whole text wins.
 
-The excluded bytes of a context are just those its one-longer context has
-seen, so the price of a byte after ``ORDER`` bytes is a constant of the model:
-all prices fit one table, ``symbols ** (ORDER + 1)`` rows by languages, and
-scoring is one lookup per byte.  To bound that table (``TABLE_BYTES``) A-Z are
-folded and rare bytes share a symbol (the bits that tell them apart cost the
-same in every language).
+The alphabet is all 256 byte values.  Only contexts that were seen are held, in
+sorted arrays by language, so the model is bounded by its sample, not by the
+alphabet or the number of languages.  The excluded bytes of a context are just
+those its one-longer context has seen, so the price of a byte after ``ORDER``
+bytes is a constant of the model: a task prices each gram once and looks it up
+from then on (up to ``CACHE_BYTES`` of prices).
 
 The trees are fitted on a bounded sample: about ``TRAIN_DOCS`` labelled
 documents of at most ``TRAIN_CHARS`` characters per language.
@@ -33,18 +33,17 @@ from tablework.llm import common as C
 ORDER = 3
 TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
-TABLE_BYTES = 24 << 20
+CACHE_BYTES = 24 << 20
 UNKNOWN = "und"
 
 
 def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes with ``ORDER`` blanks before each row; first and end position of each row."""
+    """Bytes with ``ORDER`` blanks before each row; first and end position of each row."""
     shift = ORDER * np.arange(1, len(off))
     first, end = off[:-1] + shift, off[1:] + shift
     out = np.full(len(data) + ORDER * (len(off) - 1), 32, np.uint8)
-    low = C._LOWER[data]
     for a, b, x, y in zip(off[:-1].tolist(), off[1:].tolist(), first.tolist(), end.tolist()):
-        out[x:y] = low[a:b]
+        out[x:y] = data[a:b]
     return out, first, end
 
 
@@ -72,55 +71,111 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g), pa.array(n)], ["lang", "g", "n"])
 
 
-def prices(count: np.ndarray) -> np.ndarray:
-    """Bits of every symbol after every context, from the counts of the
-    longest contexts (one axis per symbol, oldest first)."""
-    order, size = count.ndim - 1, count.shape[0]
-    counts = [count]
-    while counts[0].ndim > 1:
-        counts.insert(0, counts[0].sum(0))  # counts[k]: contexts of k symbols
-    price = np.full(size, np.log2(max(1, int((counts[0] == 0).sum()))), np.float32)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(order + 1):
-            # one axis more than counts[k]: the longer context that escaped to it
-            left = np.where(counts[k + 1] > 0, 0, counts[k]) if k < order else counts[k]
-            total, kinds = left.sum(-1, keepdims=True), (left > 0).sum(-1, keepdims=True)
-            escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0)
-            below = price  # of the context one symbol shorter, and what that excludes
-            price = np.where(left > 0, np.log2((total + kinds) / left), escape + below).astype(np.float32)
-    return price
+def _sums(key: np.ndarray, *value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values of the sorted ``key`` with the sums of ``value``."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], *(np.add.reduceat(v, first) for v in value)
+
+
+def _find(key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each of ``want`` in the sorted ``key``, and whether it is there."""
+    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    return at, key[at] == want
+
+
+class Tree:
+    """Seen contexts of one language; codes have the newest byte lowest.
+
+    ``grams[k]``: (codes of ``k`` bytes and the next one, counts).
+    ``contexts[k]``: (codes of ``k`` bytes, total, distinct next bytes, and
+    both of the context one byte shorter without what this one has seen).
+    """
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray):
+        self.grams, self.contexts = [], []
+        for k in range(ORDER + 1):
+            code = gram & ((1 << 8 * (k + 1)) - 1)
+            order = np.argsort(code, kind="stable")
+            self.grams.append(_sums(code[order], count[order]))
+        for k, (code, n) in enumerate(self.grams):
+            order = np.argsort(code >> 8, kind="stable")
+            code, n = code[order], n[order]
+            if k:
+                key, shorter = self.grams[k - 1]
+                passed = shorter[_find(key, code & ((1 << 8 * k) - 1))[0]]
+            else:
+                passed = np.zeros(len(n))
+            context, total, kinds, passed = _sums(code >> 8, n, np.ones(len(n)), passed)
+            if k:
+                key, all_total, all_kinds = self.contexts[k - 1][:3]
+                at, _ = _find(key, context & ((1 << 8 * (k - 1)) - 1))
+                self.contexts.append((context, total, kinds, all_total[at] - passed, all_kinds[at] - kinds))
+            else:
+                self.contexts.append((context, total, kinds, passed, passed))
+
+    def price(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the newest byte of each gram after the ones before it."""
+        out, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        total = kinds = None  # what the longer context leaves of this one; None: it was not seen
+        for k in range(ORDER, -1, -1):
+            mine = gram[open_]
+            context, all_total, all_kinds, rest_total, rest_kinds = self.contexts[k]
+            at, seen = _find(context, (mine >> 8) & ((1 << 8 * k) - 1))
+            t, d = np.where(seen, all_total[at], 0), np.where(seen, all_kinds[at], 0)
+            if total is not None:
+                t, d = np.where(np.isnan(total), t, total), np.where(np.isnan(kinds), d, kinds)
+            code, n = self.grams[k]
+            place, hit = _find(code, mine & ((1 << 8 * (k + 1)) - 1))
+            top = t + d
+            out[open_] += np.where(hit, np.log2(np.maximum(top, 1) / n[place]), np.where(d > 0, np.log2(np.maximum(top, 1) / np.maximum(d, 1)), 0))
+            total, kinds = np.where(seen, rest_total[at], np.nan)[~hit], np.where(seen, rest_kinds[at], np.nan)[~hit]
+            open_ = open_[~hit]
+        out[open_] += np.log2(max(1, 256 - len(self.grams[0][0])))
+        return out
 
 
 class Model:
-    """Frozen statistics: languages, byte to symbol map, price table."""
+    """Frozen statistics: languages and their context trees over all byte values."""
+
+    size = 256
+    symbol = np.arange(256, dtype=np.uint8)
 
     def __init__(self, langs: list[str], gram: np.ndarray, count: np.ndarray, lang: np.ndarray):
         self.langs = langs
-        size = int(min(256, max(16, (TABLE_BYTES / 4 / max(1, len(langs))) ** (1 / (ORDER + 1)))))
-        share = np.zeros(256)
-        for i in range(len(langs)):
-            mine = lang == i
-            share += np.bincount(gram[mine] & 255, count[mine], 256) / max(1, count[mine].sum())
-        share[32] = np.inf  # the padding has a symbol of its own
-        top = np.argsort(-share, kind="stable")[:size - 1]
-        self.symbol = np.full(256, size - 1, np.uint8)
-        self.symbol[top] = np.arange(len(top))
-        self.size = size
-        self.table = np.zeros((size ** (ORDER + 1), len(langs)), np.float32)
-        code = np.zeros(len(gram), np.int64)
-        for i in range(ORDER + 1):
-            code += self.symbol[(gram >> (8 * i)) & 255].astype(np.int64) * size ** i
-        shared = np.zeros(size, np.float32)
-        shared[-1] = np.log2(256 - len(top))
-        for i in range(len(langs)):
-            mine = lang == i
-            n = np.bincount(code[mine], count[mine], size ** (ORDER + 1)).reshape((size,) * (ORDER + 1))
-            self.table[:, i] = (prices(n) + shared).reshape(-1)
+        self.trees = [Tree(gram[lang == i], count[lang == i]) if (lang == i).any() else None for i in range(len(langs))]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.prices = np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
+
+    def __getstate__(self):
+        return {"langs": self.langs, "trees": self.trees}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def price(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of each gram (distinct, sorted) in each language."""
+        new = gram[~_find(self.known, gram)[1]] if len(self.known) else gram
+        if len(new):
+            # a language without a text to learn from codes every byte alike
+            fresh = np.stack([np.full(len(new), 8.0) if t is None else t.price(new) for t in self.trees], 1).astype(np.float32)
+            if (len(self.known) + len(new)) * len(self.langs) * 4 > CACHE_BYTES and len(self.known):
+                self.forget()
+                return self.price(gram)
+            known = np.concatenate((self.known, new))
+            order = np.argsort(known, kind="stable")
+            self.known, self.prices = known[order], np.concatenate((self.prices, fresh))[order]
+        return self.prices[_find(self.known, gram)[0]]
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of each row in each language."""
         text, first, end = padded(data, off)
-        price = self.table[grams(self.symbol[text], self.size)]
+        if not len(text):
+            return np.zeros((len(first), len(self.langs)))
+        gram, at = np.unique(grams(text, 256), return_inverse=True)
+        price = self.price(gram)[at]
         price = np.concatenate((price, np.zeros((1, price.shape[1]), np.float32)))
         cuts = np.stack((first, end), 1).reshape(-1)
         out = np.add.reduceat(price, cuts, axis=0, dtype=np.float64)[::2]
@@ -182,7 +237,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     spark = docs.sparkSession
     C.bounded_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    shared = spark.sparkContext.broadcast(model)  # at most TABLE_BYTES
+    shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     cols = [F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter")]
     frame = docs.select(*cols, *[F.col(f"`{c}`") for c in keep])
     fields = [docs.schema[c] for c in keep]

@@ -283,6 +283,29 @@ def test_code_lengths_match_a_plain_context_model():
         assert math.isclose(model.bits(data, off)[0, 0], brute_bits(counts, t, model.size) + shared, rel_tol=1e-5)
 
 
+def test_code_lengths_are_those_of_all_byte_values():
+    said = {"de": "Über die Straße gehen zwölf Füße, sagt Jörg: QUERULANT #7!", "ja": "日本語の文章がここにあります。東京都の人口は多い。",
+            "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю", "zh": "我能吞下玻璃而不伤身体，今天天气很好。", "xx": "a"}
+    found, trees = [], []
+    for i, t in enumerate(said.values()):
+        text = ppm_language.padded(*C.buffers(pa.array([t])))[0].tolist()
+        gram, n = np.unique(ppm_language.grams(np.array(text, np.uint8), 256)[ppm_language.ORDER:], return_counts=True)
+        found.append((gram, n.astype(float), np.full(len(gram), i)))
+        counts = [collections.defaultdict(collections.Counter) for _ in range(ppm_language.ORDER + 1)]
+        raw = b" " * ppm_language.ORDER + t.encode()
+        for j in range(ppm_language.ORDER, len(raw)):
+            for k in range(ppm_language.ORDER + 1):
+                counts[k][tuple(raw[j - k:j])][raw[j]] += 1
+        trees.append(counts)
+    model = ppm_language.Model(list(said), *(np.concatenate(x) for x in zip(*found)))
+    texts = ["Die Straße", "東京の天気", "мягких чаю ЧАЮ", "玻璃很好 QUERULANT", "", "\x00\x7f ~"]
+    for _ in range(2):  # priced, then looked up
+        got = model.bits(*C.buffers(pa.array(texts)))
+        for i, t in enumerate(texts):
+            for j, counts in enumerate(trees):
+                assert math.isclose(got[i, j], brute_bits(counts, b" " * ppm_language.ORDER + t.encode(), 256), rel_tol=1e-5), (t, j)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = ppm_language.held_out(F.col("doc_id"))
