@@ -2,6 +2,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -200,6 +201,39 @@ def test_filter_reads_back_every_count():
     assert np.mean(f.counts(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0) < 0.08
 
 
+def test_lm_scores_rare_words_and_single_bigrams(monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BITS", 512)  # no chance agreement
+    learned = ["common " * 40, "rare bird", *[f"seldom x{i}" for i in range(5)]]
+    texts = ["rare bird", "bird rare", "unseen unheard", "common seldom", "x1 x2"]
+    level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0.0
+    one, past, two = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in (["^", *t.split(), "$"] for t in learned):
+        one.update(t[1:])
+        past.update(t[:-1])
+        two.update(zip(t, t[1:]))
+    bottom = sum(one.values()) + 0.1 * (len(one) + 1)
+    layout = bloom_lm.Layout(1000, 4)
+    layout.segments = 2
+    groups = collections.defaultdict(list)
+    for b in bloom_lm._count_task(layout)(iter([pa.record_batch({"text": learned})])):
+        for r in b.to_pylist():
+            groups[r["part"]].append(r)
+    rows = [bloom_lm._merge_task(layout)(pa.Table.from_pylist(g)).to_pylist()[0] for g in groups.values()]
+    single, grams = {r["part"]: r for r in rows if r["keys"]}, {r["part"]: (r["bits"], r["n"]) for r in rows if not r["keys"]}
+    # as in a large corpus: no word is frequent
+    words = bloom_lm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), sum(r["total"] for r in single.values()), sum(r["n"] for r in single.values()))
+    filters = [bloom_lm.Filter(layout, s, grams, words, a, b, {p: r["bits"] for p, r in single.items()})
+               for s in range(2) for a, b in itertools.pairwise(range(layout.words + 1))]
+    w, h, row = bloom_lm.tokens(*C.buffers(pa.array(texts)))
+    mine = np.array([f.holds(w, h) for f in filters])
+    assert (mine.sum(0) == 1).all() and (mine.sum(1) > 0).sum() >= 3
+    got = sum(np.bincount(row[m], f.log10(w[m], h[m]), len(texts)) for f, m in zip(filters, mine))
+    for t, x in zip((["^", *t.split(), "$"] for t in texts), got):
+        want = sum(math.log10((min(level(two[h, w]), level(past[h])) + bloom_lm.MU * (level(one[w]) + 0.1) / bottom) / (level(past[h]) + bloom_lm.MU))
+                   for h, w in zip(t, t[1:]))
+        assert math.isclose(x, want, rel_tol=1e-9), (t, x, want)
+
+
 def test_network_gradients():
     n = bigru_toxicity.Network()
     n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
