@@ -127,6 +127,35 @@ def bigru_toxicity(spark, sf_dir):
     return scored.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= T.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op12_piece_codec")
+def piece_codec(spark, sf_dir):
+    from tablework.llm.piece_codec import encode
+    done = encode(C.table(spark, sf_dir, "documents"), decoded=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+NEGATIVES_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+        list_sum([a.v[i] * o.v[i] FOR i IN range(1, len(a.v) + 1)])::BIGINT AS score
+      FROM r a JOIN r o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark, sf_dir):
+    from tablework.llm.hard_negatives import mine
+    return mine(C.table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
