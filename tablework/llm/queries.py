@@ -127,6 +127,64 @@ def bigru_toxicity(spark, sf_dir):
     return scored.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= T.THRESHOLD).cast("int").alias("predicted"))
 
 
+def _moved(state, cost, letter, when="TRUE"):
+    return f"CASE WHEN {when} THEN lpad((substr({state}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{letter}' END"
+
+
+def _repair_sql() -> str:
+    """The repair by a step per row over the four states, each with its least cost (8 digits) and audit."""
+    cut = "cut::INT"
+    drop = [_moved(f"s{p}", 3, "D") for p in range(4)]
+    keep = {i: lambda p, i=i: _moved(f"s{p}", cut, "K", f"NOT gone AND x = '{i}'") for i in "sua"}
+    made = lambda p: _moved(f"s{p}", f"2 + {cut}", "R", "NOT gone")
+    t = [drop[0], f"least({drop[1]}, {keep['s'](0)})",
+         f"least({drop[2]}, " + ", ".join(f"{keep['u'](p)}, {made(p)}" for p in (0, 1, 3)) + ")",
+         f"least({drop[3]}, {keep['a'](2)}, {made(2)})"]
+    put = lambda c: _moved(c, 2, "I")
+    closed2 = f"least(t2, {put('t0')}, {put('t1')}, {put('t3')})"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+  lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384)))) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS x, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS opened FROM o),
+r AS (SELECT *, blank OR seen AS gone, opened AND NOT blank AND NOT seen AS cut,
+  lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+  count_if(seen AND NOT blank) AS duplicate, count_if(cut) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM r GROUP BY 1),
+a AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, '00000002I' AS s2, '00000004II' AS s3 FROM a
+  UNION ALL
+  SELECT conv_id, i, t0, t1, {closed2}, least(t3, {put(closed2)}) FROM (
+    SELECT r.conv_id, r.i, {t[0]} AS t0, {t[1]} AS t1, {t[2]} AS t2, {t[3]} AS t3
+    FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)),
+e AS (SELECT p.conv_id, least(s0, s3) AS best FROM p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n.rows, 0)),
+g AS (SELECT conv_id, substr(best, 9) AS audit, unnest(range(1, length(best) - 7)) AS pos FROM e),
+l AS (SELECT conv_id, pos, substr(audit, pos, 1) AS edit, pos - length(replace(substr(audit, 1, pos), 'I', '')) AS made,
+  length(replace(substr(audit, 1, pos), 'D', '')) AS place FROM g),
+m AS (SELECT l.conv_id, pos, edit, place, r.role, CASE WHEN edit = 'I' THEN '' ELSE r.text END AS text,
+  coalesce(first_value(CASE WHEN edit = 'K' THEN r.x END) OVER (PARTITION BY l.conv_id ORDER BY pos) = 's', FALSE) AS led
+  FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = pos - made WHERE edit <> 'D'),
+q AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+  chr(10) ORDER BY pos) AS body FROM m GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, substr(best, 1, 8)::BIGINT AS cost,
+  substr(best, 9) AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op11_conversation_repair", _repair_sql())
+def conversation_repair(spark, sf_dir):
+    from tablework.llm.conversation_repair import repair
+    return repair(C.table(spark, sf_dir, "conversations"))
+
+
 @query("op12_piece_codec")
 def piece_codec(spark, sf_dir):
     from tablework.llm.piece_codec import encode
