@@ -42,41 +42,42 @@ def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str]) ->
     """Keys then metrics; null keys kept; ascending by the first key, nulls
     last.  NaN counts as missing.
 
-    ``median(col)`` metrics come from exact positions (grouped:
-    ``ordinal.grouped_quantiles``; global: ``quantiles.exact_quantiles``),
-    which cut any group across tasks."""
+    Medians and percentiles, alone or inside an expression, come from exact
+    positions (grouped: ``ordinal.grouped_quantiles``; global:
+    ``quantiles.exact_quantiles``), which cut any group across tasks; the other
+    aggregates of the metrics are one partial aggregation."""
     keys = [g.strip() for g in (group_by or [])]
     for g in keys:
         if g not in df.columns:
             raise AggregateError(f"No column {g!r} to group by")
     parsed: list[Metric] = parse_metrics(metrics, df)
     df = nan_to_null(df)
-    med = [m for m in parsed if m.source_column and m.text.strip().lower().startswith("median")]
-    rest = [m for m in parsed if m not in med]
+    plain = [m.column for m in parsed if not m.parts]
+    plain += [F.expr(p.body).alias(p.name) for m in parsed for p in m.parts if p.share is None]
+    placed: dict[str, list] = {}  # order statistics by the value they are of
+    for p in (p for m in parsed for p in m.parts if p.share is not None):
+        placed.setdefault(p.body, []).append(p)
     if keys:
-        kcols = [_key(k) for k in keys]
-        if rest:
-            out = df.groupBy(*kcols).agg(*[m.column for m in rest])
-        else:
-            out = df.select(*kcols).distinct()
-        if med:
+        held = {f"__k{i}": _key(k) for i, k in enumerate(keys)}
+        df = df.withColumns(held)
+        out = df.groupBy(*held).agg(*plain) if plain else df.select(*held).distinct()
+        for n, (body, parts) in enumerate(placed.items()):
             from tablework.operators.ordinal import grouped_quantiles
-            for m in med:
-                q = grouped_quantiles(df, keys, _key(m.source_column), [0.5], [m.alias])
-                cond = [out[k].eqNullSafe(q[k]) for k in keys]
-                out = out.join(q, on=cond, how="left").select(*[out[k] for k in keys],
-                                                              *[c for c in out.columns if c not in keys],
-                                                              q[m.alias])
-        out = out.select(*kcols, *[_key(m.alias) for m in parsed]).orderBy(_key(keys[0]).asc_nulls_last())
+            q = grouped_quantiles(df, list(held), F.expr(body), [p.share for p in parts], [p.name for p in parts])
+            o, q = out.alias("o"), q.alias(f"q{n}")
+            same = [F.col(f"o.{h}").eqNullSafe(F.col(f"q{n}.{h}")) for h in held]
+            out = o.join(q, on=same, how="left").select("o.*", *[F.col(f"q{n}.{p.name}") for p in parts])
+        out = out.withColumnsRenamed(dict(zip(held, keys)))
+        out = out.select(*[_key(k) for k in keys], *[m.column if m.parts else _key(m.alias) for m in parsed])
+        out = out.orderBy(_key(keys[0]).asc_nulls_last())
     else:
-        if med:
+        out = df.agg(*plain) if plain else df.sparkSession.range(1).select()
+        for n, (body, parts) in enumerate(placed.items()):
             from tablework.operators.quantiles import exact_quantiles
-            from tablework.operators.profile import clean_value
-            qs = exact_quantiles(df.select(*[clean_value(df, m.source_column).alias(m.source_column) for m in med]),
-                                 [m.source_column for m in med], [0.5])
-        cols = [F.lit(qs[m.source_column][0]).cast("double").alias(m.alias) if m in med else m.column
-                for m in parsed]
-        out = df.agg(*cols)
+            shares = [p.share for p in parts]
+            found = exact_quantiles(df.select(F.expr(body).cast("double").alias("v")), ["v"], shares)["v"]
+            out = out.withColumns({p.name: F.lit(v).cast("double") for p, v in zip(parts, found)})
+        out = out.select(*[m.column if m.parts else _key(m.alias) for m in parsed])
     aliases = [m.alias for m in parsed]
     numeric = [f.name for f in out.schema.fields
                if f.name in aliases and isinstance(f.dataType, T.NumericType)]

@@ -1,5 +1,5 @@
 """Open SQL over registered tables, plus the two join shapes Spark SQL has
-no syntax for (as-of join, binned range join).
+no syntax for (as-of join, range join).
 
 ``run_sql`` registers each source as a temp view and hands the text to
 ``spark.sql``: Catalyst parses, optimizes (pushdown, pruning, join
@@ -34,16 +34,18 @@ class SqlResult:
         return self.df.limit(n)
 
 
-def looks_aggregate_text(sql: str) -> bool:
-    import re
-    from tablework.functions.metrics import AGG_FUNCS
-    s = sql.lower()
-    return " group by " in s or any(re.search(rf"\b{f}\s*\(", s) for f in AGG_FUNCS)
+def _aggregates(plan) -> bool:
+    """Does an analysed plan group rows (in its text, not in the views it reads)?"""
+    if plan.nodeName() in ("Aggregate", "View"):
+        return plan.nodeName() == "Aggregate"
+    below = plan.children()
+    return any(_aggregates(below.apply(i)) for i in range(below.size()))
 
 
 def run_sql(spark: SparkSession, query: str, sources: dict | None = None) -> SqlResult:
     views = register_sources(spark, sources or {})
-    return SqlResult(spark.sql(query), query, looks_aggregate_text(query), views)
+    df = spark.sql(query)
+    return SqlResult(df, query, _aggregates(df._jdf.queryExecution().analyzed()), views)
 
 
 def _q(c: str) -> Column:
@@ -93,39 +95,50 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
     return u.select(*cols).unionByName(lost.select(*cols))
 
 
+#: Points of a block of the range join.
+BLOCK = 1024
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
-               bin_width: float, how: str = "inner") -> DataFrame:
-    """Rows of ``points`` joined to every range with ``lo ≤ point ≤ hi``;
-    ``how`` is inner, left, right or full.
-
-    Equi-join on bins instead of a nested loop.  A range lies on the level
-    whose bins (``bin_width`` times a power of two) are as wide as it, so it
-    touches two bins at most however wide it is; a point is listed once per
-    level in use.  The exact test runs after the join, and adaptive execution
-    splits a hot bin."""
+               how: str = "inner", parts: int | None = None) -> DataFrame:
+    """Rows of ``points`` joined to every range with ``lo <= point <= hi``;
+    ``how`` is inner, left, right or full.  Any type that has an order (the three
+    columns are brought to one type as a union does it); a null end or point meets
+    nothing; NaN is the largest number, as in Spark.
+
+    A sweep instead of a nested loop: ends of ranges and points are sorted
+    together by range over all tasks, and the numbers of points passed and of
+    ranges open are carried across the borders of tasks.  So each range learns
+    the first and the last place of its points, and each point whether a range is
+    open.  A range is then listed once per block of ``BLOCK`` places that it
+    reaches into and meets the points of these blocks; all but its two outer
+    blocks lie inside it, so what is listed and tried grows with the result.
+    Ranges without points are not listed at all."""
+    from tablework.operators.windows import running, window_columns
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"Not a way to join: {how}")
-    p, r = points, ranges
-    if how != "inner":  # identities of the rows, fixed by writing them
-        p = written_once(points.withColumn("__p", F.monotonically_increasing_id()), "points")
-        r = written_once(ranges.withColumn("__g", F.monotonically_increasing_id()), "ranges")
-    wide, base = (_q(hi) - _q(lo)).cast("double"), float(bin_width)
-    level = F.when(wide <= base, 0).when(wide < float("inf"), F.ceil(F.log2(wide / base)).cast("int")).otherwise(-1)
-    binned = r.where(_q(lo) <= _q(hi)).withColumn("__level", level)
-    levels = [x[0] for x in binned.select("__level").distinct().collect()]  # one per doubling of the width
-
-    def place(x: Column) -> Column:
-        return F.when(F.col("__level") < 0, F.lit(0.0)).otherwise(F.floor(x.cast("double") / (F.lit(base) * F.pow(F.lit(2.0), F.col("__level")))).cast("double"))
-    binned = binned.withColumn("__bin", F.explode(F.array_distinct(F.array(place(_q(lo)), place(_q(hi))))))
-    listed = p.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__bin", place(_q(point)))
-    cond = (listed["__level"] == binned["__level"]) & (listed["__bin"] == binned["__bin"]) & \
-        (listed[point] >= binned[lo]) & (listed[point] <= binned[hi])
-    met = listed.join(binned, cond).drop(listed["__bin"], listed["__level"]).drop(binned["__bin"], binned["__level"])
-    if how == "inner":
-        return met
-    met = written_once(met, "met")
-    out = met
-    for side, own, ident in (("left", p, "__p"), ("right", r, "__g")):
-        if how in (side, "full"):
-            out = out.unionByName(own.join(met.select(ident), ident, "left_anti"), allowMissingColumns=True)
-    return out.drop("__p", "__g")
+    p = written_once(points.withColumn("__p", F.monotonically_increasing_id()), "points")
+    r = written_once(ranges.withColumn("__g", F.monotonically_increasing_id()), "ranges")
+    none = F.lit(None).cast("long")
+    some = r.where(_q(lo) <= _q(hi))
+    # kinds at one value: ranges open (0), points pass (1), ranges close (2)
+    events = (p.where(_q(point).isNotNull()).select(_q(point).alias("v"), F.lit(1).alias("kind"), F.col("__p"), none.alias("__g"))
+              .union(some.select(_q(lo), F.lit(0), none, F.col("__g"))).union(some.select(_q(hi), F.lit(2), none, F.col("__g"))))
+    events = events.withColumns({"one": (F.col("kind") == 1).cast("int"), "step": 1 - F.col("kind")})
+    swept = written_once(window_columns(events, [], [("v", True), ("kind", True)],
+                                        {"passed": running("sum", F.col("one")), "open": running("sum", F.col("step"))}, parts), "swept")
+    place = swept.where("kind = 1").select("__p", (F.col("passed") - 1).alias("__at"), (F.col("open") > 0).alias("__met"))
+    spans = swept.where("kind <> 1").groupBy("__g").agg(F.min("passed").alias("__first"), (F.max("passed") - 1).alias("__last"))
+    spans = spans.where("__first <= __last")
+    listed = r.join(spans, "__g").withColumn("__block", F.explode(F.sequence(F.floor(F.col("__first") / BLOCK), F.floor(F.col("__last") / BLOCK))))
+    known = written_once(p.join(place, "__p", "left"), "places")
+    dealt = known.where("__met").withColumn("__block", F.floor(F.col("__at") / BLOCK))
+    met = dealt.alias("__x").join(listed.alias("__y"), (F.col("__x.__block") == F.col("__y.__block")) & F.col("__at").between(F.col("__first"), F.col("__last")))
+    out = met.select(*[F.col(f"__x.`{c}`") for c in points.columns], *[F.col(f"__y.`{c}`") for c in ranges.columns])
+    if how in ("left", "full"):
+        alone = known.where(~F.coalesce(F.col("__met"), F.lit(False)))
+        out = out.union(alone.select(*[_q(c) for c in points.columns], *[F.lit(None).cast(f.dataType) for f in ranges.schema.fields]))
+    if how in ("right", "full"):
+        alone = r.join(spans, "__g", "left_anti")
+        out = out.union(alone.select(*[F.lit(None).cast(f.dataType) for f in points.schema.fields], *[_q(c) for c in ranges.columns]))
+    return out

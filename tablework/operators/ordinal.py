@@ -57,7 +57,7 @@ def rank_within_groups(df: DataFrame, keys: list[str], value: Column, name: str
     (nulls last); adds ``<name>`` and the group size ``group_rows``."""
     tagged, order = rank_order(df, keys, value)
     idx = with_row_index(tagged, order, "__pos").drop("__tie")
-    firsts = idx.groupBy(*keys).agg(F.min("__pos").alias("__gfirst"), F.count(F.lit(1)).alias("group_rows"))
+    firsts = idx.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min("__pos").alias("__gfirst"), F.count(F.lit(1)).alias("group_rows"))
     return (join_small(idx, firsts, keys, null_safe=True)
                .withColumn(name, F.col("__pos") - F.col("__gfirst"))
                .drop("__pos", "__gfirst"))
@@ -78,7 +78,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list
     for a, b in zip(lo, hi):
         c = (r == a) | (r == b)
         keep = c if keep is None else keep | c
-    picked = ranked.where(keep).groupBy(*keys).agg(
+    picked = ranked.where(keep).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         F.first("group_rows").alias("__n"),
         *[F.max(F.when(r == a, F.col("__v"))).alias(f"__lo{i}") for i, a in enumerate(lo)],
         *[F.max(F.when(r == b, F.col("__v"))).alias(f"__hi{i}") for i, b in enumerate(hi)])

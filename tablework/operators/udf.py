@@ -3,21 +3,139 @@
 The caller passes Python functions, not code text.  Batches travel to
 Python as Arrow record batches (``mapInPandas``), never row by row.
 
-``map_with_group_stats`` is the per-group form that survives hot keys: the
-group statistics a function needs are built-in aggregates (partial per
-task), joined back to the rows, and the function then sees bounded batches
-of rows with their group's statistics.  ``apply_in_pandas`` hands a whole
-group to one Python worker; use it only when groups are known to be small.
+Two per-group forms survive hot keys.  ``map_with_group_stats``: the group
+statistics a function needs are built-in aggregates (partial per task), joined
+back to the rows, and the function then sees bounded batches of rows with their
+group's statistics.  ``aggregate_groups``: a user aggregate folds batches of a
+group into a state, and states are merged in a tree, so a group is never whole
+in one worker.  ``apply_in_pandas`` runs such an aggregate, or hands a whole
+group to one Python worker if it is given a plain function; use that only when
+groups are known to be small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablework.session import join_small
 
+#: Groups whose states a task holds before it hands them on.
+HELD_GROUPS = 50_000
+#: States of a hot group meet in so many workers before they meet in one.
+FAN = 32
+
+
+@dataclass(frozen=True)
+class GroupAggregate:
+    """A user aggregate.
+
+    ``init()`` gives an empty state, ``fold(state, rows)`` takes in a pandas frame
+    of rows of one group, ``merge(a, b)`` joins two states and ``finish(state)``
+    gives the output columns as a dict.  Rows and states come in any order, so
+    ``fold`` and ``merge`` must not depend on it.  States are pickled."""
+    init: Callable[[], Any]
+    fold: Callable[[Any, pd.DataFrame], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], dict]
+
+
+def _fold_task(agg: GroupAggregate, keys: int):
+    """Batches (k0.., rows' columns) to (k0.., state) rows, one per group and task
+    (more if a task meets over ``HELD_GROUPS`` groups)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = {}, None
+
+        def out():
+            cols = list(zip(*held)) if keys else []
+            arrays = [pa.array(c, f.type) for c, f in zip(cols, schema)]
+            arrays.append(pa.array([pickle.dumps(s) for s in held.values()], pa.binary()))
+            batch = pa.RecordBatch.from_arrays(arrays, [f"k{i}" for i in range(keys)] + ["state"])
+            held.clear()
+            return batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            schema = list(b.schema)[:keys]
+            rows = pa.Table.from_batches([b.select(range(keys, b.num_columns))]).to_pandas()
+            own = list(zip(*(c.to_pylist() for c in b.columns[:keys]))) if keys else [()] * b.num_rows
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(own):
+                places.setdefault(tuple(None if x != x else x for x in k), []).append(i)
+            for k, at in places.items():
+                held[k] = agg.fold(held[k] if k in held else agg.init(), rows.iloc[at].reset_index(drop=True))
+            if len(held) > HELD_GROUPS:
+                yield out()
+        if held:
+            yield out()
+    return run
+
+
+def _merge_task(agg: GroupAggregate, keys: int, names: list[str] | None, types: list | None):
+    """Streams (k0.., state) in order of the keys: one merged state, or finished row, per group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, rows, schema = None, None, [], None
+
+        def out():
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*[k for k, _ in rows]), schema)] if keys else []
+            if names is None:
+                arrays.append(pa.array([pickle.dumps(s) for _, s in rows], pa.binary()))
+            else:
+                done = [agg.finish(s) for _, s in rows]
+                arrays += [pa.array([d[n] for d in done], t) for n, t in zip(names, types)]
+            batch = pa.RecordBatch.from_arrays(arrays, [f"k{i}" for i in range(keys)] + (names or ["state"]))
+            rows.clear()
+            return batch
+        for b in batches:
+            schema = list(b.schema)[:keys]
+            own = list(zip(*(c.to_pylist() for c in b.columns[:keys]))) if keys else [()] * b.num_rows
+            for k, packed in zip(own, b.column(b.num_columns - 1).to_pylist()):
+                s = pickle.loads(packed)
+                if state is not None and k == last[0]:
+                    state = (agg.merge(state[0], s),)
+                    continue
+                if state is not None:
+                    rows.append((last[0], state[0]))
+                last, state = (k,), (s,)
+                if len(rows) >= 1000:
+                    yield out()
+        if state is not None:
+            rows.append((last[0], state[0]))
+        if rows:
+            yield out()
+    return run
+
+
+def aggregate_groups(df: DataFrame, keys: list[str], agg: GroupAggregate, schema: str) -> DataFrame:
+    """``keys`` and the columns of ``schema`` that ``agg.finish`` gives, one row per group.
+
+    Each task folds its batches into one state per group; the states of a group
+    meet in ``FAN`` workers, then in one, as a stream of which two are held at a
+    time.  Null keys are a group, NaN keys count as null; without keys the table is one group; an
+    empty table gives no rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    made = T.StructType.fromDDL(schema)
+    rest = [c for c in df.columns if c not in keys]
+    held = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in rest])
+    own = held.schema.fields[:len(keys)]
+    names = [f.name for f in own]
+    states = held.mapInArrow(_fold_task(agg, len(keys)), T.StructType([*own, T.StructField("state", T.BinaryType())]))
+    states = states.withColumn("way", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    first = states.repartition(*names, "way").drop("way").sortWithinPartitions(*names) if keys else states.repartition(FAN, "way").drop("way")
+    merged = first.mapInArrow(_merge_task(agg, len(keys), None, None), T.StructType([*own, T.StructField("state", T.BinaryType())]))
+    met = merged.repartition(*names).sortWithinPartitions(*names) if keys else merged.coalesce(1)
+    done = met.mapInArrow(_merge_task(agg, len(keys), [f.name for f in made], [to_arrow_type(f.dataType) for f in made]),
+                          T.StructType([*own, *made.fields]))
+    return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[F.col(f"`{f.name}`") for f in made])
+
 
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(pandas.DataFrame) -> pandas.DataFrame`` over Arrow batches."""
@@ -35,8 +153,11 @@ def map_with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column
     return map_batches(join_small(df, g, keys, "left"), fn, schema)
 
 
-def apply_in_pandas(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
-    """Whole-group pandas function (bounded groups only)."""
+def apply_in_pandas(df: DataFrame, keys: list[str], fn: Callable | GroupAggregate, schema: str) -> DataFrame:
+    """A user function per group: a ``GroupAggregate`` at any size (``schema`` then
+    has its output columns), or a whole-group pandas function for bounded groups."""
+    if isinstance(fn, GroupAggregate):
+        return aggregate_groups(df, keys, fn, schema)
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 

@@ -15,6 +15,7 @@ FAMILIES = (
     "tablework.plans.q_series",
     "tablework.plans.q_facts",
     "tablework.plans.q_opensql",
+    "tablework.plans.q_windows",
     "tablework.plans.q_runlog",
     "tablework.plans.q_sources",
 )

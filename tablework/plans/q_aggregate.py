@@ -155,6 +155,23 @@ def register(reg):
           SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value {dir}, p_brand ASC NULLS LAST) AS rank
           FROM m {where}) WHERE rank <= 5"""
 
+    @reg.add("agg_order_expr", """
+        SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS grp, round(median(l_extendedprice) * 2, 4) AS m,
+               round(max(l_extendedprice) - median(l_extendedprice), 4) AS above, round(quantile_cont(l_quantity, 0.9) / avg(l_quantity), 4) AS p90_ratio,
+               round(median(l_extendedprice * (1 - l_discount)), 4) AS net, count(*) AS n
+        FROM lineitem GROUP BY 1""")
+    def agg_order_expr(spark, sf):
+        items = table(spark, sf, "lineitem").withColumn("grp", F.expr("CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END"))
+        res = A.aggregate(items, ["grp"], ["median(l_extendedprice) * 2 AS m", "max(l_extendedprice) - median(l_extendedprice) AS above",
+                                           "percentile(l_quantity, 0.9) / avg(l_quantity) AS p90_ratio", "median(l_extendedprice * (1 - l_discount)) AS net", "count(*) AS n"])
+        return rounded(res.df)
+
+    @reg.add("agg_order_expr_global", """
+        SELECT round(median(o_totalprice) - min(o_totalprice), 4) AS lift, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, count(*) AS n FROM orders""")
+    def agg_order_expr_global(spark, sf):
+        res = A.aggregate(table(spark, sf, "orders"), [], ["median(o_totalprice) - min(o_totalprice) AS lift", "percentile(o_totalprice, 0.25) AS q1", "count(*) AS n"])
+        return rounded(res.df)
+
     @reg.add("agg_topk", topk_sql.format(agg=BRAND_REVENUE_SQL, dir="DESC NULLS LAST", where=""))
     def agg_topk(spark, sf):
         res = brand_revenue(spark, sf)

@@ -55,23 +55,6 @@ SQL_QUERIES = [
     ("sql_grouping_sets", ["orders"], """
         SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(max(o_totalprice), 4) AS top
         FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""", SAME),
-    ("sql_window_rank", ["orders"], """
-        SELECT o_orderkey,
-               row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS drk,
-               ntile(3) OVER w AS tile, round(percent_rank() OVER w, 4) AS prk
-        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""", SAME),
-    ("sql_window_lag", ["orders"], """
-        SELECT o_orderkey,
-               lag(o_totalprice) OVER w AS prev_price, CAST(lead(o_orderkey, 2) OVER w AS DOUBLE) AS next2,
-               first_value(o_orderkey) OVER w AS first_order, last_value(o_orderkey) OVER w AS last_so_far
-        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""", SAME),
-    ("sql_window_frame", ["orders"], """
-        SELECT o_orderkey,
-               round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-                                             ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS last3,
-               count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
-                              RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW) AS year_count
-        FROM orders""", SAME),
     ("sql_window_filter", ["orders"], """
         SELECT o_custkey, o_orderkey, rn FROM (
           SELECT o_custkey, o_orderkey,
@@ -250,8 +233,7 @@ def register(reg):
         # ten equal-width price bands over the observed range (one small aggregate)
         bands = spark.createDataFrame([(b, lo + b * (hi - lo) / 10, lo + (b + 1) * (hi - lo) / 10) for b in range(10)],
                                       "band long, b_lo double, b_hi double")
-        j = range_join(part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "b_lo", "b_hi",
-                       bin_width=step)
+        j = range_join(part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "b_lo", "b_hi")
         j = j.where((F.col("p_retailprice") < F.col("b_hi")) | (F.col("band") == 9))
         return rounded(j.groupBy("band").agg(F.count(F.lit(1)).alias("parts"),
                                              F.avg("p_retailprice").alias("avg_price")))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tablework.functions.text import clean_file_name
 from tablework.operators import aggregate as A
-from tablework.operators.udf import map_batches, map_with_group_stats
+from tablework.operators.udf import GroupAggregate, apply_in_pandas, map_batches
 from tablework.plans.common import rounded, table
-from tablework.session import shared_path
+from tablework.session import join_small, shared_path
 from tablework.sources import files as S
 from tablework.sources.scan import read_csv, read_source, table_path
 
@@ -24,6 +24,28 @@ def _net_columns(pdf):
     return out
 
 
+def _fold_moments(state, rows):
+    value = rows["value"].dropna()
+    return _merge_moments(state, (len(value), value.mean(), ((value - value.mean()) ** 2).sum()) if len(value) else (0, 0.0, 0.0))
+
+
+def _merge_moments(a, b):
+    """Count, mean and squared deviations of two parts together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    apart = b[1] - a[1]
+    return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n
+
+
+def _finish_moments(state):
+    n, mean, squares = state
+    return {"v_mean": mean if n else None, "v_std": (squares / (n - 1)) ** 0.5 if n > 1 else None}
+
+
+MOMENTS = GroupAggregate(lambda: (0, 0.0, 0.0), _fold_moments, _merge_moments, _finish_moments)
+
+
 def _zscore(pdf):
     out = pdf[["event_id", "event_type"]].copy()
     std = pdf["v_std"].where(pdf["v_std"] != 0)
@@ -91,7 +113,6 @@ def register(reg):
         FROM events""")
     def udf_apply_in_pandas(spark, sf):
         ev = table(spark, sf, "events").select("event_id", "event_type", "value")
-        out = map_with_group_stats(ev, ["event_type"],
-                                   {"v_mean": F.avg("value"), "v_std": F.stddev_samp("value")},
-                                   _zscore, "event_id long, event_type string, z double")
+        stats = apply_in_pandas(ev, ["event_type"], MOMENTS, "v_mean double, v_std double")
+        out = map_batches(join_small(ev, stats, ["event_type"], "left"), _zscore, "event_id long, event_type string, z double")
         return rounded(out)

@@ -110,8 +110,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.col(f.name)
+            c = F.col(f"`{f.name}`")
             cols.append(F.when(~F.isnan(c), c).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)

@@ -158,3 +158,32 @@ def test_report_reads_its_input_once(spark, tmp_path):
     assert A.extrema(A.aggregate(df, ["k"], ["sum(v)", "avg(v)"]).df, ["k"], ["sum_v", "avg_v"]).count() == 2
     assert A.top_k(A.aggregate(df, ["k"], ["sum(v)", "avg(v)"]).df, ["k"], ["sum_v", "avg_v"], 2).count() == 4
     assert seen.value == 2000
+
+
+def test_medians_inside_expressions(spark):
+    rows = [(None if i % 7 == 0 else i % 3, float(i * i % 101), None if i % 4 == 0 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    texts = ["median(x) * 2 AS m", "max(x) - median(x)", "round(percentile(y, 0.9) + count(*), 3) AS p", "median(x + y) AS s", "sum(x)",
+             "median(x) FILTER (WHERE y > 100) / avg(y) AS f", "coalesce(median(if(k = 99, x, null)), -1) AS none", "median(y)"]
+    plain = ["median(x) * 2 AS m", "max(x) - median(x) AS metric_1", "round(percentile(y, 0.9) + count(*), 3) AS p", "median(x + y) AS s", "sum(x) AS sum_x",
+             "median(x) FILTER (WHERE y > 100) / avg(y) AS f", "coalesce(median(if(k = 99, x, null)), -1) AS none", "median(y) AS median_y"]
+    for keys in (["k"], []):
+        res = A.aggregate(df, keys, texts)
+        want = df.groupBy(*keys).agg(*[F.expr(t.rsplit(" AS ", 1)[0]).alias(t.rsplit(" AS ", 1)[1]) for t in plain])
+        assert res.df.columns == want.columns
+        got, want = (sorted((tuple(r) for r in d.collect()), key=lambda r: str(r[:1])) for d in (res.df, want))
+        for g, w in zip(got, want):
+            assert g == pytest.approx(w)
+        assert len(got) == len(want)
+        plan = res.df._jdf.queryExecution().toString()
+        assert "percentile(" not in plan and "median(" not in plan
+    with pytest.raises(MetricError):
+        parse_metrics(["median(nope) AS m"], df)
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, float("nan")), ("b", 5.0, 4.0)], ["k.x", "v.y", "other.z"])
+    res = A.aggregate(df, ["k.x"], ["sum(v.y) AS s", "median(v.y) AS m", "count(*)"])
+    assert [tuple(r) for r in res.df.collect()] == [("a", 4.0, 2.0, 2), ("b", 5.0, 5.0, 1)]
+    assert [tuple(r) for r in A.top_n_sum(df, "k.x", "v.y", 1).collect()] == [("b", 5.0)]
+    assert A.share_of_total(res.df, "s").where("`k.x` = 'b'").first()["share_pct"] == pytest.approx(500 / 9)

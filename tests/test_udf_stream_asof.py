@@ -1,12 +1,15 @@
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablework.operators import opensql
 from tablework.operators.opensql import asof_join, range_join, run_sql
 from tablework.operators.prepare import PrepareError
-from tablework.operators.udf import apply_in_pandas, map_batches, register_step, run_step
+from tablework.operators.sample import reservoir_sample
+from tablework.operators.udf import GroupAggregate, aggregate_groups, apply_in_pandas, map_batches, register_step, run_step
 from tablework.streaming.prepare_stream import prepare_stream, read_stream
 
 
@@ -32,7 +35,9 @@ def test_run_sql_flags_aggregates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "x int, k string")
     res = run_sql(spark, "SELECT k, sum(x) AS s FROM t GROUP BY k", {"t": df})
     assert res.is_aggregate and res.df.first()["s"] == 3
-    assert not run_sql(spark, "SELECT k FROM t", {"t": df}).is_aggregate
+    assert not run_sql(spark, "SELECT k, ' group by sum(' AS s FROM t", {"t": df}).is_aggregate
+    assert run_sql(spark, "SELECT * FROM (SELECT max(x) AS m FROM t) AS q", {"t": df}).is_aggregate
+    assert not run_sql(spark, "SELECT s FROM u", {"u": df.groupBy("k").agg(F.sum("x").alias("s"))}).is_aggregate
 
 
 def _brute_asof(left, right):
@@ -73,7 +78,7 @@ def test_range_join_kinds_and_wide_ranges(spark, how):
     rngs = [(0, 2.0, 2.0), (1, -1e9, 1e9), (2, 5.0, 4.0), (3, 0.5, 17.25), (4, None, 3.0), (5, 28.0, float("inf")), (6, 500.0, 501.0)]
     P = spark.createDataFrame(pts, "pid long, x double")
     G = spark.createDataFrame(rngs, "rid long, lo double, hi double")
-    got = sorted(((r["pid"], r["rid"]) for r in range_join(P, G, "x", "lo", "hi", 2.0, how).collect()), key=str)
+    got = sorted(((r["pid"], r["rid"]) for r in range_join(P, G, "x", "lo", "hi", how).collect()), key=str)
     hits = [(p, r) for p, x in pts for r, lo, hi in rngs if None not in (x, lo, hi) and lo <= x <= hi]
     want = list(hits)
     if how in ("left", "full"):
@@ -88,11 +93,82 @@ def test_range_join_matches_brute_force(spark):
     rngs = [(j, float(j * 5), float(j * 5 + 12)) for j in range(15)]
     P = spark.createDataFrame(pts, "pid long, x double")
     Rg = spark.createDataFrame(rngs, "rid long, lo double, hi double")
-    got = sorted((r["pid"], r["rid"]) for r in range_join(P, Rg, "x", "lo", "hi", 4.0).collect())
+    got = sorted((r["pid"], r["rid"]) for r in range_join(P, Rg, "x", "lo", "hi").collect())
     want = sorted((p, r) for p, x in pts for r, lo, hi in rngs if lo <= x <= hi)
     assert got == want
 
 
+KINDS = {
+    "date": lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i), "timestamp_ntz": lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=i),
+    "long": lambda i: 2**53 + i, "string": lambda i: f"{i + 50:04d}", "decimal(38,2)": lambda i: Decimal(10) ** 20 + i}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_range_join_on_any_ordered_type(spark, kind, monkeypatch):
+    monkeypatch.setattr(opensql, "BLOCK", 8)
+    make, r = KINDS[kind], random.Random(6)
+    pts = [(i, None if i % 17 == 0 else r.randint(0, 120)) for i in range(150)] + [(200 + i, 60) for i in range(30)]
+    rngs = [(j, a, a + r.choice([-3, 0, 0, 1, 5, 90])) for j, a in enumerate(r.choices(range(121), k=60))] + [(90, None, 5), (91, 5, None)]
+    P = spark.createDataFrame([(i, None if x is None else make(x)) for i, x in pts], f"id long, x {kind}")
+    G = spark.createDataFrame([(j, *[None if v is None else make(v) for v in (a, b)]) for j, a, b in rngs], f"id long, lo {kind}, hi {kind}")
+    hits = [(p, g) for p, x in pts for g, a, b in rngs if None not in (x, a, b) and a <= x <= b]
+    want = hits + [(p, None) for p, _ in pts if p not in {h[0] for h in hits}] + [(None, g) for g, _, _ in rngs if g not in {h[1] for h in hits}]
+    for parts in (None, 6):
+        got = [(r[0], r[2]) for r in range_join(P, G, "x", "lo", "hi", "full", parts).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_range_join_of_overlapping_ranges(spark):
+    P = spark.range(5000).withColumn("x", F.col("id") * 3)
+    G = spark.range(2000).select(F.col("id").alias("g"), (F.col("id") * 2).alias("lo"), (F.col("id") * 2 + 9000).alias("hi"))
+    got = range_join(P, G, "x", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"), F.sum("g").alias("g")).first()
+    want = [(range(-(-2 * g // 3), min(5000, (2 * g + 9000) // 3 + 1)), g) for g in range(2000)]
+    assert tuple(got) == (sum(len(r) for r, _ in want), sum(sum(r) for r, _ in want), sum(len(r) * g for r, g in want))
+
+
+def _spread_of(rows):
+    return GroupAggregate(lambda: (0, 0.0, None), lambda s, p: (s[0] + len(p), s[1] + p.v.sum(), max([x for x in (s[2], p.v.max()) if x is not None and x == x], default=None)),
+                          lambda a, b: (a[0] + b[0], a[1] + b[1], max([x for x in (a[2], b[2]) if x is not None], default=None)),
+                          lambda s: {"n": s[0], "total": s[1], "top": s[2]})
+
+
+@pytest.mark.parametrize("keys", [["g"], ["g", "h"], []])
+def test_group_aggregate_cuts_groups(spark, keys):
+    rows = [(None if i % 50 == 0 else i % 4 if i % 3 else 0, str(i % 2), None if i % 11 == 0 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, h string, v double").repartition(9)
+    got = apply_in_pandas(df, keys, _spread_of(df), "n long, total double, top double")
+    by = df.groupBy(*keys) if keys else df.groupBy()
+    want = by.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert aggregate_groups(df.limit(0), keys, _spread_of(df), "n long, total double, top double").collect() == []
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString() and "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
+def test_group_aggregate_hands_states_on(spark, monkeypatch):
+    from tablework.operators import udf
+    monkeypatch.setattr(udf, "HELD_GROUPS", 3)
+    df = spark.range(2000).select((F.col("id") % 40).alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r["g"]: (r["n"], r["total"]) for r in aggregate_groups(df, ["g"], _spread_of(df), "n long, total double, top double").collect()}
+    assert got == {g: (50, float(sum(range(g, 2000, 40)))) for g in range(40)}
+
+
+def test_reservoir_is_exact_and_repeatable(spark):
+    import hashlib
+    rows = [(i, None if i % 5 == 0 else i % 3, i % 7 or None) for i in range(900)] + [(1000, 9, 1)] * 4
+    df = spark.createDataFrame(rows, "id long, s long, x long")
+
+    def rank(r):
+        return hashlib.md5("|".join(["5", *("null" if v is None else str(v) for v in (r[0], r[2]))]).encode()).hexdigest()
+    for parts in (1, 7, 40):
+        got = [tuple(r) for r in reservoir_sample(df.repartition(parts), 20, ["s"], ["id", "x"], 5).collect()]
+        want = [r for s in {r[1] for r in rows} for r in sorted((r for r in rows if r[1] == s), key=rank)[:20]]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    whole = reservoir_sample(df.repartition(11), 50, None, ["id", "x"], 5)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(sorted(rows, key=rank)[:50], key=str)
+    assert reservoir_sample(df, 0).count() == 0 and reservoir_sample(df.limit(0), 5).count() == 0 and reservoir_sample(df, 5000).count() == 904
+    assert "WindowGroupLimit" in whole._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prepare_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = read_stream(spark, sf, schema, glob="events.parquet")
