@@ -1,7 +1,9 @@
 """Window columns over keys of any size.
 
-A Spark window gathers a whole key in one task.  Here rows are range-sorted by
-(key, order, row identity), so a hot key is cut across tasks, and written once.
+A Spark window gathers a whole key in one task, which is right for keys that fit
+one.  Keys are counted first, and those of more than ``HOT_ROWS`` rows go another
+way: their rows are range-sorted by (key, order, row identity), so a hot key is
+cut across tasks, and written once.
 Windows then run inside (partition, key) only, and what a key needs from other
 partitions is carried:
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from tablework.session import written_once
 
+#: Rows of a key that one task may hold.
+HOT_ROWS = 200_000
 _START, _HERE = Window.unboundedPreceding, Window.currentRow
 
 
@@ -158,14 +162,46 @@ def _carry(ends: DataFrame, runs: dict[str, str]) -> DataFrame:
     return h.join(t, same).select("h.*", "t.rank_in")
 
 
+def _plain(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], columns: dict[str, Over]) -> DataFrame:
+    """Window columns by Spark's own windows: a key in one task."""
+    by = [F.col(f"`{c}`").asc_nulls_first() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in order]
+    group = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
+    w = group.orderBy(*by)
+    step = w.rowsBetween(_START, _HERE)
+    make = {"row_number": lambda o: F.row_number().over(w), "rank": lambda o: F.rank().over(w), "dense_rank": lambda o: F.dense_rank().over(w),
+            "percent_rank": lambda o: F.percent_rank().over(w), "ntile": lambda o: F.ntile(o.n).over(w),
+            "group_rows": lambda o: F.count(F.lit(1)).over(group), "first": lambda o: F.first(o.col).over(step),
+            "running": lambda o: o.agg(o.col).over(step), "frame": lambda o: o.agg(o.col).over(w.rowsBetween(-o.before, o.after)),
+            "lag": lambda o: F.lag(o.col, o.n).over(w), "lead": lambda o: F.lead(o.col, o.n).over(w)}
+    made = [make[o.kind](o).alias(n) for n, o in columns.items()]
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *made)
+
+
 def window_columns(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], columns: dict[str, Over],
-                   parts: int | None = None) -> DataFrame:
+                   parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with window columns over ``keys`` in ``order`` ((column, ascending),
     nulls as in Spark: first when ascending, last when descending).
 
     Rows that tie in ``order`` come in one fixed but arbitrary order.  Without
-    keys the whole table is one group.  Null keys are a group.  ``parts`` is the
-    number of sorted partitions (default: the session's)."""
+    keys the whole table is one group.  Null keys are a group.  Keys of more than
+    ``hot_rows`` rows are cut across tasks; ``parts`` is the number of their sorted
+    partitions (default: the session's)."""
+    if not keys or hot_rows <= 0:
+        return _carried(df, keys, order, columns, parts)
+    named = [F.col(f"`{k}`") for k in keys]
+    hot = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    hot = written_once(hot.select(*[k.alias(f"h{i}") for i, k in enumerate(named)]), "hot")  # no more than the table's rows / hot_rows
+    if hot.isEmpty():
+        return _plain(df, keys, order, columns)
+    same = F.lit(True)
+    for i, k in enumerate(named):
+        same &= k.eqNullSafe(hot[f"h{i}"])
+    cool = _plain(df.join(hot, same, "left_anti"), keys, order, columns)
+    return cool.union(_carried(df.join(hot, same, "left_semi"), keys, order, columns, parts))
+
+
+def _carried(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], columns: dict[str, Over], parts: int | None) -> DataFrame:
+    """Window columns from sorted partitions and what is carried between them."""
     rows = df.columns
     put = {f"__v{i}": o.col for i, o in enumerate(columns.values()) if o.col is not None}
     place = {name: i for i, name in enumerate(columns)}
@@ -261,7 +297,7 @@ def _halo(u: DataFrame, values: list[str], carried: DataFrame, back: int, ahead:
 
 
 def within_range(df: DataFrame, keys: list[str], value: str, low: Column, columns: dict[str, Column | None],
-                 parts: int | None = None) -> DataFrame:
+                 parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """For every row the rows of its key whose ``value`` lies between ``low`` (of
     this row) and its own: a count per name (column None) or a sum of a column.
 
@@ -278,7 +314,7 @@ def within_range(df: DataFrame, keys: list[str], value: str, low: Column, column
            for at, side in ((F.when(v.isNotNull(), low), 0), (v, 2))]
     names = [f"k{i}" for i in range(len(keys))]
     sums = {f"s{i}": running("sum", F.col(f"x{i}")) for i in range(len(columns))}
-    told = window_columns(real.union(ask[0]).union(ask[1]), names, [("v", True), ("side", True)], sums, parts).where("side <> 1")
+    told = window_columns(real.union(ask[0]).union(ask[1]), names, [("v", True), ("side", True)], sums, parts, hot_rows).where("side <> 1")
     signed = [F.sum(F.when(F.col("side") == 2, F.coalesce(f"s{i}", F.lit(0.0))).otherwise(-F.coalesce(f"s{i}", F.lit(0.0)))) for i in range(len(columns))]
     told = told.groupBy(F.col("row").alias("__row")).agg(*[(s.cast("long") if c is None else s).alias(n)
                                                           for s, (n, c) in zip(signed, columns.items())])

@@ -13,6 +13,8 @@ from tablework.plans.common import rounded, table
 
 #: A key that holds a third of the orders.
 HOT = "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END"
+#: Rows from which a key counts as hot there.
+FROM = 1000
 
 RANK_SQL = """
     SELECT o_orderkey,
@@ -37,25 +39,25 @@ def _orders(spark, sf, key):
     return table(spark, sf, "orders").withColumn("key", F.expr(key))
 
 
-def ranks(spark, sf, key, order):
+def ranks(spark, sf, key, order, hot=W.HOT_ROWS):
     w = W.window_columns(_orders(spark, sf, key).select("key", "o_orderkey", *[c for c, _ in order if c != "o_orderkey"]), ["key"], order,
-                         {"rn": W.row_number(), "rk": W.rank(), "drk": W.dense_rank(), "tile": W.ntile(3), "prk": W.percent_rank()})
+                         {"rn": W.row_number(), "rk": W.rank(), "drk": W.dense_rank(), "tile": W.ntile(3), "prk": W.percent_rank()}, hot_rows=hot)
     return rounded(w.select("o_orderkey", "rn", "rk", "drk", "tile", "prk"))
 
 
-def neighbours(spark, sf, key):
+def neighbours(spark, sf, key, hot=W.HOT_ROWS):
     w = W.window_columns(_orders(spark, sf, key).select("key", "o_orderkey", "o_orderdate", "o_totalprice"), ["key"],
                          [("o_orderdate", True), ("o_orderkey", True)],
                          {"prev_price": W.lag(F.col("o_totalprice")), "next2": W.lead(F.col("o_orderkey"), 2),
-                          "first_order": W.first_value(F.col("o_orderkey")), "last_so_far": W.rows_between(F.last, F.col("o_orderkey"), 0)})
+                          "first_order": W.first_value(F.col("o_orderkey")), "last_so_far": W.rows_between(F.last, F.col("o_orderkey"), 0)}, hot_rows=hot)
     return w.select("o_orderkey", "prev_price", F.col("next2").cast("double").alias("next2"), "first_order", "last_so_far")
 
 
-def frames(spark, sf, key):
+def frames(spark, sf, key, hot=W.HOT_ROWS):
     rows = _orders(spark, sf, key).select("key", "o_orderkey", "o_orderdate", "o_totalprice")
     rows = W.window_columns(rows, ["key"], [("o_orderdate", True), ("o_orderkey", True)],
-                            {"last3": W.rows_between(F.sum, F.col("o_totalprice"), 2)})
-    rows = W.within_range(rows, ["key"], "o_orderdate", F.col("o_orderdate") - F.expr("INTERVAL 365 DAYS"), {"year_count": None})
+                            {"last3": W.rows_between(F.sum, F.col("o_totalprice"), 2)}, hot_rows=hot)
+    rows = W.within_range(rows, ["key"], "o_orderdate", F.col("o_orderdate") - F.expr("INTERVAL 365 DAYS"), {"year_count": None}, hot_rows=hot)
     return rounded(rows.select("o_orderkey", "last3", "year_count"))
 
 
@@ -107,24 +109,25 @@ FIT_SQL = """
 
 def register(reg):
     price, placed = [("o_totalprice", False), ("o_orderkey", True)], [("o_orderdate", True)]
-    for name, key in (("sql_window_{}", "o_custkey"), ("window_{}_hot_key", HOT)):
-        reg.add(name.format("rank"), RANK_SQL.format(key=key, order="o_totalprice DESC, o_orderkey"))(lambda spark, sf, key=key: ranks(spark, sf, key, price))
-        reg.add(name.format("lag"), LAG_SQL.format(key=key))(lambda spark, sf, key=key: neighbours(spark, sf, key))
-        reg.add(name.format("frame"), FRAME_SQL.format(key=key))(lambda spark, sf, key=key: frames(spark, sf, key))
+    for name, key, hot in (("sql_window_{}", "o_custkey", W.HOT_ROWS), ("window_{}_hot_key", HOT, FROM)):
+        reg.add(name.format("rank"), RANK_SQL.format(key=key, order="o_totalprice DESC, o_orderkey"))(
+            lambda spark, sf, key=key, hot=hot: ranks(spark, sf, key, price, hot))
+        reg.add(name.format("lag"), LAG_SQL.format(key=key))(lambda spark, sf, key=key, hot=hot: neighbours(spark, sf, key, hot))
+        reg.add(name.format("frame"), FRAME_SQL.format(key=key))(lambda spark, sf, key=key, hot=hot: frames(spark, sf, key, hot))
 
     @reg.add("window_ties_hot_key", """
         SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS drk, round(percent_rank() OVER w, 4) AS prk, count(*) OVER (PARTITION BY {key}) AS n
         FROM orders WINDOW w AS (PARTITION BY {key} ORDER BY o_orderdate)""".format(key=HOT))
     def ties(spark, sf):
         w = W.window_columns(_orders(spark, sf, HOT).select("key", "o_orderkey", "o_orderdate"), ["key"], placed,
-                             {"rk": W.rank(), "drk": W.dense_rank(), "prk": W.percent_rank(), "n": W.group_rows()})
+                             {"rk": W.rank(), "drk": W.dense_rank(), "prk": W.percent_rank(), "n": W.group_rows()}, hot_rows=FROM)
         return rounded(w.select("o_orderkey", "rk", "drk", "prk", "n"))
 
     @reg.add("window_running_hot_key", RUNNING_SQL)
     def running(spark, sf):
         price = F.col("o_totalprice")
         w = W.window_columns(_orders(spark, sf, HOT).select("key", "o_orderkey", "o_orderdate", "o_totalprice"), ["key"], [*placed, ("o_orderkey", True)],
-                             {"spent": W.running("sum", price), "n": W.running("count", price), "least": W.running("min", price), "most": W.running("max", price)})
+                             {"spent": W.running("sum", price), "n": W.running("count", price), "least": W.running("min", price), "most": W.running("max", price)}, hot_rows=FROM)
         return w.select("o_orderkey", F.round("spent", 2).alias("spent"), "n", "least", "most")
 
     @reg.add("reservoir_sample", SAMPLE_SQL)
