@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablework.session import written_once
+
 # The quartiles of the basic statistics.
 QUARTILES = (0.25, 0.5, 0.75)
 MAX_CATEGORIES = 50
@@ -180,15 +182,20 @@ def _few_values(columns: int, most: int):
     return run
 
 
+def few_values(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """``ordinal, distinct_count`` of the columns: exact up to ``most``, and ``most + 1``
+    for all that have more, in one pass: a task hands on at most ``most + 1`` values
+    of a column.  A column of nulls has no row."""
+    text = df.select(*[clean_value(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    found = text.mapInArrow(_few_values(len(columns), most), "ordinal int, value string")
+    return found.distinct().groupBy("ordinal").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("distinct_count"))
+
+
 def small_columns(df: DataFrame, columns: list[str], most: int) -> list[str]:
-    """The columns with at most ``most`` distinct non-null values, exactly, in
-    one pass: a task hands on at most ``most + 1`` values of a column."""
+    """The columns with at most ``most`` distinct non-null values, exactly."""
     if not columns:
         return []
-    text = df.select(*[clean_value(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    found = text.mapInArrow(_few_values(len(columns), most), "ordinal int, value string")
-    large = found.groupBy("ordinal").agg(F.count_distinct("value").alias("n")).where(F.col("n") > most).select("ordinal")
-    gone = {r["ordinal"] for r in large.collect()}  # a row per column at most
+    gone = {r["ordinal"] for r in few_values(df, columns, most).where(F.col("distinct_count") > most).collect()}  # a row per column at most
     return [c for i, c in enumerate(columns) if i not in gone]
 
 
@@ -207,17 +214,21 @@ def pick_categorical(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx:
 
 
 def categorical_table(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx: bool = False) -> DataFrame:
-    """Distinct counts of the candidate columns with the pick marked, as one
-    aggregate: ``column, ordinal, distinct_count, picked``."""
+    """Distinct counts of the candidate columns with the pick marked: ``column,
+    ordinal, distinct_count, picked``.  Counts are exact up to ``max_distinct``;
+    ``max_distinct + 1`` stands for more.  With ``approx`` they are sketches."""
     texts = text_columns(df)
     cands = texts if texts else df.columns
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[fn(q(c)).alias(f"{i}__distinct_count") for i, c in enumerate(cands)])
-    wide = wide.select(*[x for i in range(len(cands)) for x in (
-        F.col(f"{i}__distinct_count"), F.lit(i).alias(f"{i}__ordinal"))])
-    long = _stack(wide, cands, ["distinct_count", "ordinal"])
-    small = F.col("distinct_count") <= max_distinct
+    names = df.sparkSession.createDataFrame(list(enumerate(cands)), "ordinal int, column string")
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(q(c)).alias(f"{i}__distinct_count") for i, c in enumerate(cands)])
+        wide = wide.select(*[x for i in range(len(cands)) for x in (F.col(f"{i}__distinct_count"), F.lit(i).alias(f"{i}__ordinal"))])
+        counts = _stack(wide, cands, ["distinct_count", "ordinal"]).select("ordinal", "distinct_count")
+    else:
+        counts = few_values(df, cands, max_distinct)
+    long = written_once(names.join(counts, "ordinal", "left").select(
+        "column", "ordinal", F.coalesce("distinct_count", F.lit(0).cast("long")).alias("distinct_count")), "distinct")
     # pick: first small one by ordinal; if none and there are text columns, ordinal 0
-    first_small = long.where(small).agg(F.min("ordinal")).scalar()
+    first_small = long.where(F.col("distinct_count") <= max_distinct).agg(F.min("ordinal")).scalar()
     pick = F.coalesce(first_small, F.lit(0) if texts else F.lit(-1))
     return long.withColumn("picked", F.col("ordinal") == pick)

@@ -123,16 +123,21 @@ def scatter_auto_series(df: DataFrame, fraction: float | None = None) -> DataFra
 
 def _pair_sums(n: int):
     """Task: for every pair of columns, over its rows with both present, the
-    count, both means, both sums of squares and the sum of products about them.
+    count, both means, both sums of squares and the sum of products about them,
+    and the least and greatest value of the first.
 
     Sums are taken about the first mean of the task, in matrix products."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         sums, shift = np.zeros((6, n, n)), None
+        low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
         for b in batches:
             x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(n)], axis=1)
             there = ~np.isnan(x)
+            for j in range(n):  # of the rows where column j is there
+                low[:, j] = np.minimum(low[:, j], np.where(there, x, np.inf)[there[:, j]].min(0, initial=np.inf))
+                high[:, j] = np.maximum(high[:, j], np.where(there, x, -np.inf)[there[:, j]].max(0, initial=-np.inf))
             if shift is None:
                 count = there.sum(0)
                 shift = np.where(count > 0, np.where(there, x, 0).sum(0) / np.maximum(count, 1), 0)
@@ -142,10 +147,10 @@ def _pair_sums(n: int):
             return
         k, sx, sy, sxx, syy, sxy = sums
         d = np.maximum(k, 1)
-        out = [k, shift[:, None] + sx / d, shift[None, :] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d]
+        out = [k, shift[:, None] + sx / d, shift[None, :] + sy / d, sxx - sx * sx / d, syy - sy * sy / d, sxy - sx * sy / d, low, high]
         i, j = np.nonzero(k > 0)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(o[i, j]) for o in out]],
-                                         ["i", "j", "n", "mx", "my", "xx", "yy", "xy"])
+                                         ["i", "j", "n", "mx", "my", "xx", "yy", "xy", "low", "high"])
     return run
 
 
@@ -159,17 +164,20 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[clean_value(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    sums = values.mapInArrow(_pair_sums(len(cols)), "i long, j long, n double, mx double, my double, xx double, yy double, xy double")
+    sums = values.mapInArrow(_pair_sums(len(cols)), "i long, j long, n double, mx double, my double, xx double, yy double, xy double, low double, high double")
     sums = written_once(sums, "pairs")  # columns squared rows a task
     mean = sums.groupBy("i", "j").agg((F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ax"),
                                       (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("ay"))
     dx, dy, n = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay"), F.col("n")
     whole = sums.join(mean, ["i", "j"]).groupBy("i", "j").agg(
-        F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+        F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"),
+        (F.min("low") < F.max("high")).alias("varies"))
+    other = whole.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("varies").alias("other_varies"))
+    whole = whole.join(other, ["i", "j"])  # columns squared rows
     names = F.array(*[F.lit(c) for c in cols])
     pairs = df.sparkSession.range(len(cols) ** 2).select(
         F.floor(F.col("id") / len(cols)).alias("i"), (F.col("id") % len(cols)).alias("j"))
-    corr = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx")) / F.sqrt(F.col("yy")))
+    corr = F.when(F.col("varies") & F.col("other_varies") & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx")) / F.sqrt(F.col("yy")))
     return pairs.join(whole, ["i", "j"], "left").select(
         F.get(names, F.col("i").cast("int")).alias("col_a"), F.get(names, F.col("j").cast("int")).alias("col_b"), corr.alias("corr"))
 

@@ -18,6 +18,7 @@ FAMILIES = (
     "tablework.plans.q_windows",
     "tablework.plans.q_runlog",
     "tablework.plans.q_sources",
+    "tablework.plans.q_stored",
 )
 
 _REGISTRY: Registry | None = None

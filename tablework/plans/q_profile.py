@@ -100,8 +100,8 @@ def register(reg):
         return rounded(P.frame_digest(df, 3))
 
     @reg.add("pick_categorical", """
-        WITH c AS (SELECT 'c_name' AS "column", 0 AS ordinal, count(DISTINCT c_name) AS distinct_count FROM customer
-                   UNION ALL SELECT 'c_mktsegment', 1, count(DISTINCT c_mktsegment) FROM customer)
+        WITH c AS (SELECT 'c_name' AS "column", 0 AS ordinal, least(count(DISTINCT c_name), 51) AS distinct_count FROM customer
+                   UNION ALL SELECT 'c_mktsegment', 1, least(count(DISTINCT c_mktsegment), 51) FROM customer)
         SELECT "column", ordinal, distinct_count,
                ordinal = coalesce((SELECT min(ordinal) FROM c WHERE distinct_count <= 50), 0) AS picked
         FROM c""")

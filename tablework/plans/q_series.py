@@ -95,5 +95,5 @@ def register(reg):
     @reg.add("chart_corr", _corr_sql())
     def chart_corr(spark, sf):
         df = lineitem_nulls(spark, sf).select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                               F.lit(1.0).alias("one"))
+                                               F.lit(1e9 + 0.1).alias("one"))
         return rounded(V.corr_matrix(df))

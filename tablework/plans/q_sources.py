@@ -91,9 +91,15 @@ def register(reg):
     def fingerprint_files(spark, sf):
         return S.fingerprint_files(spark, sf)
 
-    @reg.add("fingerprint_rows")
+    @reg.add("fingerprint_rows", """
+        WITH m AS (SELECT md5(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, 'null'), CAST(round(o_totalprice * 100) AS BIGINT),
+                                        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), coalesce(o_orderpriority, 'null'))) AS h FROM orders)
+        SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) AS high_sum,
+               CAST(sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR) AS low_sum FROM m""")
     def fingerprint_rows(spark, sf):
-        return S.fingerprint_rows(table(spark, sf, "orders"))
+        orders = table(spark, sf, "orders")
+        return S.fingerprint_rows(orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long"),
+                                                F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_orderpriority"))
 
     @reg.add("udf_map_in_pandas", """
         SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net,

@@ -51,7 +51,7 @@ def test_traces_roundtrip_and_steps(spark):
     out = tempfile.mkdtemp(prefix="tw-trace-out-")
     S.append_trace(t, out + "/table")
     S.append_trace(t, out + "/table")
-    assert spark.read.json(out + "/table").count() == 2
+    assert S.read_traces(spark, out + "/table").count() == 1  # a job that is run again adds nothing
 
 
 def test_list_run_artifacts(spark):
@@ -93,7 +93,7 @@ def test_fingerprint_rows_is_order_free(spark):
     a = S.fingerprint_rows(df).first()
     b = S.fingerprint_rows(df.orderBy(F.desc("k")).repartition(3)).first()
     c = S.fingerprint_rows(df.dropDuplicates()).first()
-    assert a == b and a["row_hash_sum"] != c["row_hash_sum"]
+    assert a == b and a["high_sum"] != c["high_sum"]
 
 
 def test_read_tasks(spark):
