@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import common as C
 from tablework.llm import grouping as G
-from tablework.llm.stream_dedup import located
+from tablework.llm.rows import located
 
 RADIUS, BLOCKS = 3, 6
 SIMILARITY = 0.8
@@ -193,8 +193,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
-    docs = located(docs)
-    docs = docs.select(F.xxhash64("__at.file", "__at.row").alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = located(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    docs = docs.select(F.xxhash64("__at.file", "__at.row").alias("rid"), "doc_id", "text")
     seen = C.staged(docs.select("rid", "doc_id", "text").mapInArrow(
         _occurrences_task, "rid long, doc_id long, line long, cls long, fp long, size long"), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line")).alias("first")

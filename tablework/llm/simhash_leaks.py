@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework.llm import common as C
-from tablework.llm.stream_dedup import located
+from tablework.llm.rows import by_place, located, named_back
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -80,7 +80,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     are ignored.
     """
     spark = docs.sparkSession
-    docs = located(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("__at").alias("at"))
+    docs = located(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).withColumnRenamed("__at", "at")
     docs = docs.select("doc_id", "at", F.xxhash64("at.file").alias("f"), F.col("at.row").alias("r"), words(F.col("text")).alias("words"))
     bench = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), words(F.col(f"`{item_text}`")).alias("words"))
     bench = bench.where(F.size("words") > 0).distinct()
@@ -128,8 +128,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak an item; all columns."""
-    docs = located(docs)
-    bad = leaks(docs.drop("__at"), items, id_col, text_col).select(F.xxhash64("at.file").alias("f"), F.col("at.row").alias("r")).distinct()
+    held, new = by_place(docs)
+    bad = leaks(held.drop("__at"), items, new[id_col], new[text_col]).select(F.xxhash64("at.file").alias("f"), F.col("at.row").alias("r")).distinct()
     side = C.small_side(C.staged(bad, "leaking"), 24)
-    docs = docs.withColumns({"__f": F.xxhash64("__at.file"), "__r": F.col("__at.row")})
-    return docs.join(side, (F.col("__f") == side["f"]) & (F.col("__r") == side["r"]), "left_anti").drop("__at", "__f", "__r")
+    here = (F.xxhash64(held["__at.file"]) == side["f"]) & (held["__at.row"] == side["r"])
+    return named_back(held.join(side, here, "left_anti"), new)

@@ -41,11 +41,37 @@ def test_stream_dedup_tells_colliding_digests_apart(spark, sf):
     assert all((r.keep_id, r.group_size) == want[squeezed(text[r.doc_id])] and r.kept == (r.doc_id == r.keep_id) for r in weak)
 
 
-def test_stream_dedup_goes_on_from_its_state(spark, messy):
+@pytest.mark.parametrize("weak", [False, True])
+def test_stream_dedup_goes_on_from_its_state(spark, weak):
+    """Runs over more and more tables, one of them twice, count every row once, with a digest of few values too."""
+    from tablework.llm import common as C
     from tablework.session import shared_path
-    state = shared_path(spark, "state")
-    once = stream_dedup.duplicates(messy, state_dir=state).count()
-    assert once == messy.count()
+    digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else stream_dedup.sha256
+    state, tables, seen = shared_path(spark, "state"), [], []
+    for k in range(3):
+        rows = [(k * 100 + i, f"text {(k * 7 + i) % 23}" + " " * ((i * k) % 4)) for i in range(30)]
+        tables.append((rows, C.staged(spark.createDataFrame(rows, "doc_id long, text string"), "docs")))
+    for rows, table in (tables[0], tables[1], tables[1], tables[2], tables[0]):
+        seen += [r for r in rows if r not in seen]
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in stream_dedup.duplicates(table, digest=digest, state_dir=state).collect()}
+        want = {}
+        for d, t in rows:
+            group = [x for x in seen if squeezed(x[1]) == squeezed(t)]
+            keep = min(group, key=lambda x: (-len(x[1]), x[0]))[0]
+            want[d] = (keep, len(group), keep == d)
+        assert got == want
+
+
+@pytest.mark.parametrize("names", [("_metadata", "__at"), ("c0", "__id"), ("at", "digest")])
+def test_clashing_column_names(spark, names):
+    from tablework.llm import bloom_lm, fuzzy_lines, simhash_leaks
+    rows = [(1, "one two three four five six", 3, 4), (2, "one two three  four five six", 5, 6), (2, "something else entirely is here now", 7, 8)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, `{names[0]}` int, `{names[1]}` int")
+    left = stream_dedup.dedup(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [rows[1], rows[2]]
+    items = spark.createDataFrame([(1, "something else entirely is here now")], "item_id long, text string")
+    assert sorted(map(tuple, simhash_leaks.clean(docs, items).collect())) == rows[:2]
+    assert fuzzy_lines.dedup_lines(docs).count() == 3 and bloom_lm.score(docs, F.lit(True)).count() == 3
 
 
 def test_dedup_keeps_columns_and_empty_tables(messy, nothing):

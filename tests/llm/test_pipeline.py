@@ -12,13 +12,13 @@ import corpus_pipeline
 
 def test_every_operator_is_registered():
     names = E.queries()
-    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op3_stream_dedup", "op5_warc_index", "op7_parity_join"])
+@pytest.mark.parametrize("name", ["op3_stream_dedup", "op5_warc_index", "op7_parity_join", "op11_conversation_repair", "op13_hard_negatives"])
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = E.queries()[name](spark, sf).toPandas()
     want = con.execute(E.oracle_sql()[name]).df()[list(got.columns)]
@@ -56,3 +56,11 @@ def test_language_stage_drops_what_no_language_codes(spark, sf):
     odd = spark.createDataFrame([(90001, "1234 !!!", None, None, None), (90002, "日本語の文章がここにあります。", None, None, None), (90003, None, None, None, None)], docs.schema)
     left = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(odd), sf).collect()}
     assert left == {r.doc_id for r in docs.collect()}
+
+
+def test_near_stage_goes_by_rows(spark, messy, sf):
+    text = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew some very strange potion near an old stone bridge"
+    rows = [(5, text), (1, text + " x"), (1, "another text of the same doc_id that is like none of the others here"), (None, text), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(tuple, corpus_pipeline.near(spark, docs, sf).collect()), key=str)
+    assert left == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
