@@ -87,16 +87,14 @@ def register(reg):
 
     @reg.add("computed_values", _computed_sql())
     def computed_values(spark, sf):
-        return rounded(P.computed_values(table(spark, sf, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))
+        return rounded(P.computed_values(table(spark, sf, "orders")))
 
     @reg.add("frame_digest", " UNION ALL ".join(
-        f"SELECT count(*) AS n_rows, 5 AS n_columns, '{c}' AS \"column\", round(avg({c}), 4) AS mean, "
-        f"round(min({c}), 4) AS min, round(max({c}), 4) AS max FROM (SELECT {L_NULLS} AS l_quantity, "
-        f"l_extendedprice, l_discount FROM lineitem)"
-        for c in ("l_quantity", "l_extendedprice", "l_discount")))
+        f"SELECT count(*) AS n_rows, 11 AS n_columns, '{c}' AS \"column\", round(avg({c}), 4) AS mean, "
+        f"round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey")))
     def frame_digest(spark, sf):
-        df = lineitem_nulls(spark, sf).select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        df = table(spark, sf, "lineitem")
         return rounded(P.frame_digest(df, 3))
 
     @reg.add("pick_categorical", """

@@ -10,11 +10,14 @@ from tablework.plans.q_aggregate import L_NULLS, lineitem_nulls
 from tablework.plans.q_filters import O_TEXT_DATE_SQL, orders_text_dates
 
 MOSTLY = "CASE WHEN l_orderkey % 10 = 0 THEN l_tax END"
-DQ_FRAME = f"(SELECT l_orderkey, {L_NULLS} AS l_quantity, {MOSTLY} AS mostly, l_shipdate FROM lineitem)"
+NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "mostly")
+DQ_COLS = (*NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate")
+DQ_FRAME = f"(SELECT * REPLACE ({L_NULLS} AS l_quantity), {MOSTLY} AS mostly FROM lineitem)"
 
 
 def dq_frame(spark, sf):
-    return lineitem_nulls(spark, sf).select("l_orderkey", "l_quantity", F.expr(MOSTLY).alias("mostly"), "l_shipdate")
+    """lineitem whole, with missing quantities and a column that is mostly null."""
+    return lineitem_nulls(spark, sf).withColumn("mostly", F.expr(MOSTLY))
 
 
 def _outlier_sql(tbl, cols):
@@ -35,7 +38,7 @@ def register(reg):
         f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NULL) AS BIGINT) AS null_count, "
         f"round(count_if({c} IS NULL) / count(*), 4) AS missing_ratio, "
         f"count_if({c} IS NULL) / count(*) > 0.8 AS high_missing FROM {DQ_FRAME}"
-        for c in ("l_orderkey", "l_quantity", "mostly", "l_shipdate")))
+        for c in DQ_COLS))
     def dq_missing_ratio(spark, sf):
         return rounded(Q.missing_table(dq_frame(spark, sf)))
 
@@ -48,29 +51,23 @@ def register(reg):
             .select("o_orderkey", "o_orderpriority", "order_date_text")
         return Q.date_parse_table(df)
 
-    @reg.add("dq_constant", """
-        SELECT "column", lo AS min, hi AS max, lo = hi AS is_constant FROM (
-          SELECT 'l_orderkey' AS "column", CAST(min(l_orderkey) AS DOUBLE) AS lo, CAST(max(l_orderkey) AS DOUBLE) AS hi FROM lineitem
-          UNION ALL SELECT 'l_tax', round(min(l_tax), 4), round(max(l_tax), 4) FROM lineitem
-          UNION ALL SELECT 'one', min(CAST(1.0 AS DOUBLE)), max(CAST(1.0 AS DOUBLE)) FROM lineitem
-          UNION ALL SELECT 'l_linenumber', CAST(min(l_linenumber) AS DOUBLE), CAST(max(l_linenumber) AS DOUBLE) FROM lineitem)""")
+    @reg.add("dq_constant", " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, min({c}) = max({c}) AS is_constant "
+        f"FROM (SELECT *, CAST(1.0 AS DOUBLE) AS one FROM {DQ_FRAME})" for c in (*NUMBERS, "one")))
     def dq_constant(spark, sf):
-        df = table(spark, sf, "lineitem").select("l_orderkey", "l_tax", F.lit(1.0).alias("one"), "l_linenumber")
-        return rounded(Q.constant_table(df))
+        return rounded(Q.constant_table(dq_frame(spark, sf).withColumn("one", F.lit(1.0))))
 
     @reg.add("dq_outliers", _outlier_sql("events", ("event_id", "user_id", "value")))
     def dq_outliers(spark, sf):
         return rounded(Q.outlier_table(table(spark, sf, "events")))
 
-    @reg.add("dq_outliers_none", _outlier_sql("part", ("p_size", "p_retailprice")))
+    @reg.add("dq_outliers_none", _outlier_sql("part", ("p_partkey", "p_size", "p_retailprice")))
     def dq_outliers_none(spark, sf):
-        return rounded(Q.outlier_table(table(spark, sf, "part").select("p_name", "p_size", "p_retailprice")))
+        return rounded(Q.outlier_table(table(spark, sf, "part")))
 
     @reg.add("dq_preflight", f"""
-        SELECT count(*) AS row_count, 4 AS column_count, 3 AS numeric_columns,
-               CAST((count_if(l_orderkey IS NULL) / count(*) > 0.8)::INT + (count_if(l_quantity IS NULL) / count(*) > 0.8)::INT
-                  + (count_if(mostly IS NULL) / count(*) > 0.8)::INT + (count_if(l_shipdate IS NULL) / count(*) > 0.8)::INT
-                 AS INTEGER) AS high_missing_columns,
+        SELECT count(*) AS row_count, {len(DQ_COLS)} AS column_count, {len(NUMBERS)} AS numeric_columns,
+               CAST({" + ".join(f"(count_if({c} IS NULL) / count(*) > 0.8)::INT" for c in DQ_COLS)} AS INTEGER) AS high_missing_columns,
                count(*) >= 1 AS valid
         FROM {DQ_FRAME}""")
     def dq_preflight(spark, sf):

@@ -9,7 +9,7 @@ from tablework.operators.prepare import prepare_data
 from tablework.plans.common import rounded, table
 from tablework.plans.q_aggregate import LINEITEM_N, lineitem_nulls
 
-CORR_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "one")
+CORR_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "one")
 
 
 def _corr_sql():
@@ -65,11 +65,10 @@ def register(reg):
         return rounded(V.bar_series(j, "p_type", "l_extendedprice", 5))
 
     @reg.add("chart_bar_auto", """
-        SELECT c_mktsegment, round(sum(c_acctbal), 4) AS c_acctbal FROM customer
-        WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment ORDER BY sum(c_acctbal) DESC, c_mktsegment LIMIT 30""")
+        SELECT c_mktsegment, CAST(sum(c_custkey) AS BIGINT) AS c_custkey FROM customer
+        WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment ORDER BY sum(c_custkey) DESC, c_mktsegment LIMIT 30""")
     def chart_bar_auto(spark, sf):
-        df = table(spark, sf, "customer").select("c_name", "c_mktsegment", "c_acctbal")
-        return rounded(V.bar_auto_series(df))
+        return rounded(V.bar_auto_series(table(spark, sf, "customer")))
 
     @reg.add("chart_box", _box_sql("events", ("value",)))
     def chart_box(spark, sf):
@@ -86,14 +85,11 @@ def register(reg):
         return rounded(V.scatter_series(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice"))
 
     @reg.add("chart_scatter_auto", """
-        SELECT round(l_tax, 4) AS l_tax, round(l_discount, 4) AS l_discount FROM lineitem
-        WHERE l_tax IS NOT NULL AND l_discount IS NOT NULL""")
+        SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL""")
     def chart_scatter_auto(spark, sf):
-        df = table(spark, sf, "lineitem").select("l_returnflag", "l_tax", "l_discount", "l_quantity")
-        return rounded(V.scatter_auto_series(df))
+        return rounded(V.scatter_auto_series(table(spark, sf, "lineitem")))
 
     @reg.add("chart_corr", _corr_sql())
     def chart_corr(spark, sf):
-        df = lineitem_nulls(spark, sf).select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                               F.lit(1e9 + 0.1).alias("one"))
+        df = lineitem_nulls(spark, sf).withColumn("one", F.lit(1e9 + 0.1))
         return rounded(V.corr_matrix(df))
