@@ -61,12 +61,11 @@ def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str]) ->
         held = {f"__k{i}": _key(k) for i, k in enumerate(keys)}
         df = df.withColumns(held)
         out = df.groupBy(*held).agg(*plain) if plain else df.select(*held).distinct()
-        for n, (body, parts) in enumerate(placed.items()):
-            from tablework.operators.ordinal import grouped_quantiles
-            q = grouped_quantiles(df, list(held), F.expr(body), [p.share for p in parts], [p.name for p in parts])
-            o, q = out.alias("o"), q.alias(f"q{n}")
-            same = [F.col(f"o.{h}").eqNullSafe(F.col(f"q{n}.{h}")) for h in held]
-            out = o.join(q, on=same, how="left").select("o.*", *[F.col(f"q{n}.{p.name}") for p in parts])
+        if placed:
+            q = _order_statistics(df, list(held), placed).alias("q")
+            o = out.alias("o")
+            same = [F.col(f"o.{h}").eqNullSafe(F.col(f"q.{h}")) for h in held]
+            out = o.join(q, on=same, how="left").select("o.*", *[F.col(f"q.{p.name}") for parts in placed.values() for p in parts])
         out = out.withColumnsRenamed(dict(zip(held, keys)))
         out = out.select(*[_key(k) for k in keys], *[m.column if m.parts else _key(m.alias) for m in parsed])
         out = out.orderBy(_key(keys[0]).asc_nulls_last())
@@ -85,6 +84,18 @@ def aggregate(df: DataFrame, group_by: list[str] | None, metrics: list[str]) ->
     return AggResult(out, keys, numeric, meta)
 
 
+def _order_statistics(df: DataFrame, keys: list[str], placed: dict[str, list]) -> DataFrame:
+    """``keys`` and the order statistics of all value expressions, from one sort of
+    (keys, expression, value)."""
+    from tablework.operators.ordinal import grouped_quantiles
+    shares = sorted({p.share for parts in placed.values() for p in parts})
+    values = [F.struct(F.lit(i).alias("__w"), F.expr(body).cast("double").alias("__v")) for i, body in enumerate(placed)]
+    rows = df.select(*keys, F.inline(F.array(*values)))
+    found = grouped_quantiles(rows, [*keys, "__w"], F.col("__v"), shares, [f"__p{j}" for j in range(len(shares))])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__w") == i, F.col(f"__p{shares.index(p.share)}"))).alias(p.name)
+                                      for i, parts in enumerate(placed.values()) for p in parts])
+
+
 def _tie_order(keys: list[str]) -> list[Column]:
     return [_key(k).asc_nulls_last() for k in keys]
 
