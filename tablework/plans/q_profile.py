@@ -90,12 +90,12 @@ def register(reg):
         return rounded(P.computed_values(table(spark, sf, "orders")))
 
     @reg.add("frame_digest", " UNION ALL ".join(
-        f"SELECT count(*) AS n_rows, 11 AS n_columns, '{c}' AS \"column\", round(avg({c}), 4) AS mean, "
-        f"round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM lineitem"
-        for c in ("l_orderkey", "l_partkey", "l_suppkey")))
+        f"SELECT count(*) AS n_rows, 11 AS n_columns, '{c}' AS \"column\", round(avg({_nn(c)}), 4) AS mean, "
+        f"round(CAST(min({_nn(c)}) AS DOUBLE), 4) AS min, round(CAST(max({_nn(c)}) AS DOUBLE), 4) AS max FROM {LINEITEM_NN}"
+        for c in LINEITEM_NUMERIC))
     def frame_digest(spark, sf):
-        df = table(spark, sf, "lineitem")
-        return rounded(P.frame_digest(df, 3))
+        df = lineitem_nan(spark, sf)
+        return rounded(P.frame_digest(df, len(P.numeric_columns(df))))
 
     @reg.add("pick_categorical", """
         WITH c AS (SELECT 'c_name' AS "column", 0 AS ordinal, least(count(DISTINCT c_name), 51) AS distinct_count FROM customer
