@@ -191,6 +191,15 @@ def few_values(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     return found.distinct().groupBy("ordinal").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("distinct_count"))
 
 
+def all_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``ordinal, distinct_count`` of the columns, exact: one pass hands on the distinct
+    values of each task, and these are counted by (ordinal, value), never gathered.
+    A column of nulls has no row."""
+    text = F.array(*[clean_value(df, c).cast("string") for c in columns])
+    found = df.select(F.posexplode(text).alias("ordinal", "value")).where("value IS NOT NULL")
+    return found.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
 def small_columns(df: DataFrame, columns: list[str], most: int) -> list[str]:
     """The columns with at most ``most`` distinct non-null values, exactly."""
     if not columns:
@@ -215,8 +224,8 @@ def pick_categorical(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx:
 
 def categorical_table(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx: bool = False) -> DataFrame:
     """Distinct counts of the candidate columns with the pick marked: ``column,
-    ordinal, distinct_count, picked``.  Counts are exact up to ``max_distinct``;
-    ``max_distinct + 1`` stands for more.  With ``approx`` they are sketches."""
+    ordinal, distinct_count, picked``.  Counts are exact; with ``approx`` they are
+    sketches."""
     texts = text_columns(df)
     cands = texts if texts else df.columns
     names = df.sparkSession.createDataFrame(list(enumerate(cands)), "ordinal int, column string")
@@ -225,7 +234,7 @@ def categorical_table(df: DataFrame, max_distinct: int = MAX_CATEGORIES, approx:
         wide = wide.select(*[x for i in range(len(cands)) for x in (F.col(f"{i}__distinct_count"), F.lit(i).alias(f"{i}__ordinal"))])
         counts = _stack(wide, cands, ["distinct_count", "ordinal"]).select("ordinal", "distinct_count")
     else:
-        counts = few_values(df, cands, max_distinct)
+        counts = all_values(df, cands)
     long = written_once(names.join(counts, "ordinal", "left").select(
         "column", "ordinal", F.coalesce("distinct_count", F.lit(0).cast("long")).alias("distinct_count")), "distinct")
     # pick: first small one by ordinal; if none and there are text columns, ordinal 0

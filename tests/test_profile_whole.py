@@ -27,3 +27,15 @@ def test_frame_digest_of_all_numbers_with_missing_ones(spark, tables):
     assert (q["n_rows"], q["n_columns"], q["min"], q["max"]) == (70, 11, 2.0, 138.0)
     assert q["mean"] == round(sum(kept) / len(kept), 4) and got["l_extendedprice"]["max"] == 105.0
     assert got["l_tax"]["max"] == 0.02  # NaN is missing
+
+
+def test_categorical_counts_are_whole(spark, tables):
+    got = {r["column"]: (r["distinct_count"], r["picked"]) for r in e.queries()["pick_categorical"](spark, tables).collect()}
+    assert got == {"c_name": (200, False), "c_mktsegment": (4, True)}
+
+
+def test_categorical_counts_of_an_empty_column(spark):
+    from tablework.operators.profile import categorical_table
+    df = spark.createDataFrame([(None, "a"), (None, "b")], "x string, y string")
+    assert [tuple(r) for r in categorical_table(df).orderBy("ordinal").collect()] == [("x", 0, 0, True), ("y", 1, 2, False)]
+    assert {r["distinct_count"] for r in categorical_table(df.limit(0)).collect()} == {0}
