@@ -152,6 +152,26 @@ def test_group_aggregate_hands_states_on(spark, monkeypatch):
     assert got == {g: (50, float(sum(range(g, 2000, 40)))) for g in range(40)}
 
 
+def test_group_aggregate_folds_grow_with_groups_plus_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(0, 20_000, 1, 4).select((F.col("id") * 7919 % 200).alias("g"), F.col("id").cast("double").alias("v"))
+        folds = GroupAggregate(lambda: (0, 0), lambda s, p: (s[0] + 1, s[1] + len(p)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: {"folds": s[0], "n": s[1]})
+        got = aggregate_groups(df, ["g"], folds, "folds long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted((r["g"], r["n"]) for r in got) == [(g, 100) for g in range(200)]
+    assert sum(r["folds"] for r in got) <= 200 * 4 + 20_000 // 100 + 200  # 20,000 when every batch holds every group
+
+
+def test_group_aggregate_of_nan_null_and_signed_zero_keys(spark):
+    keys = [0.0, -0.0, float("nan"), None, 1.5] * 40
+    df = spark.createDataFrame([(k, str(i % 2), 1.0) for i, k in enumerate(keys)], "g double, h string, v double").repartition(5)
+    got = {r["g"]: r["n"] for r in aggregate_groups(df, ["g"], _spread_of(df), "n long, total double, top double").collect()}
+    assert got == {0.0: 80, None: 80, 1.5: 40}
+
+
 def test_reservoir_is_exact_and_repeatable(spark):
     import hashlib
     rows = [(i, None if i % 5 == 0 else i % 3, i % 7 or None) for i in range(900)] + [(1000, 9, 1)] * 4
