@@ -95,8 +95,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str,
     return u.select(*cols).unionByName(lost.select(*cols))
 
 
-#: Points of a block of the range join.
-BLOCK = 1024
+#: Points of the largest blocks of the range join; those of a level are so many times larger than those of the next.
+BLOCK, STEP = 1024, 8
+
+
+def _levels() -> list[int]:
+    """Sizes of blocks, from the largest down to less than ``STEP`` points."""
+    sizes = [BLOCK]
+    while sizes[-1] >= STEP:
+        sizes.append(sizes[-1] // STEP)
+    return sizes
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
@@ -110,9 +118,12 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
     together by range over all tasks, and the numbers of points passed and of
     ranges open are carried across the borders of tasks.  So each range learns
     the first and the last place of its points, and each point whether a range is
-    open.  A range is then listed once per block of ``BLOCK`` places that it
-    reaches into and meets the points of these blocks; all but its two outer
-    blocks lie inside it, so what is listed and tried grows with the result.
+    open.  A range is then listed once per block of places that it reaches into and
+    meets the points of these blocks.  Its blocks are of the largest size (``BLOCK``,
+    then a ``STEP``-th at a time) that is no larger than its number of points, so it
+    is listed in at most ``STEP + 1`` blocks, or two more than its points fill at the
+    largest size, and tries at most three times its points: what is listed and tried
+    grows with the result.  Points are dealt to a block of every size.
     Ranges without points are not listed at all."""
     from tablework.operators.windows import running, window_columns
     if how not in ("inner", "left", "right", "full"):
@@ -130,10 +141,18 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
     place = swept.where("kind = 1").select("__p", (F.col("passed") - 1).alias("__at"), (F.col("open") > 0).alias("__met"))
     spans = swept.where("kind <> 1").groupBy("__g").agg(F.min("passed").alias("__first"), (F.max("passed") - 1).alias("__last"))
     spans = spans.where("__first <= __last")
-    listed = r.join(spans, "__g").withColumn("__block", F.explode(F.sequence(F.floor(F.col("__first") / BLOCK), F.floor(F.col("__last") / BLOCK))))
+    sizes = _levels()
+    inside = F.col("__last") - F.col("__first") + 1
+    size = F.lit(sizes[-1])
+    for n in reversed(sizes[:-1]):
+        size = F.when(inside >= n, F.lit(n)).otherwise(size)
+    listed = r.join(spans, "__g").withColumn("__size", size.cast("long"))
+    listed = listed.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__first") / F.col("__size")), F.floor(F.col("__last") / F.col("__size")))))
     known = written_once(p.join(place, "__p", "left"), "places")
-    dealt = known.where("__met").withColumn("__block", F.floor(F.col("__at") / BLOCK))
-    met = dealt.alias("__x").join(listed.alias("__y"), (F.col("__x.__block") == F.col("__y.__block")) & F.col("__at").between(F.col("__first"), F.col("__last")))
+    dealt = known.where("__met").withColumn("__size", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])))
+    dealt = dealt.withColumn("__block", F.floor(F.col("__at") / F.col("__size")))
+    same = (F.col("__x.__size") == F.col("__y.__size")) & (F.col("__x.__block") == F.col("__y.__block"))
+    met = dealt.alias("__x").join(listed.alias("__y"), same & F.col("__at").between(F.col("__first"), F.col("__last")))
     out = met.select(*[F.col(f"__x.`{c}`") for c in points.columns], *[F.col(f"__y.`{c}`") for c in ranges.columns])
     if how in ("left", "full"):
         alone = known.where(~F.coalesce(F.col("__met"), F.lit(False)))
@@ -142,3 +161,27 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
         alone = r.join(spans, "__g", "left_anti")
         out = out.union(alone.select(*[F.lit(None).cast(f.dataType) for f in points.schema.fields], *[_q(c) for c in ranges.columns]))
     return out
+
+
+def range_totals(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
+                 totals: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Rows of ``points`` with the sums of ``totals`` (integer or decimal columns of
+    ``ranges``) over every range with ``lo <= point <= hi``; 0 where there is none.
+    What ``range_join`` and a sum per point give, for the same types and nulls, but
+    no pair is made.
+
+    The same sweep: a range adds its values where it opens and takes them away
+    after it closes, so a point's sum is what is open when it passes.  Ends at one
+    value are added up first, and at most three rows per value are sorted."""
+    from tablework.operators.windows import running, window_columns
+    names = [f"t{i}" for i in range(len(totals))]
+    value = [F.coalesce(c, F.lit(0)) for c in totals.values()]
+    some = ranges.where(_q(lo) <= _q(hi))
+    opens = some.select(_q(lo).alias("v"), F.lit(0).alias("kind"), *[c.alias(n) for c, n in zip(value, names)])
+    closes = some.select(_q(hi), F.lit(2), *[-c for c in value])
+    passes = points.where(_q(point).isNotNull()).select(_q(point), F.lit(1), *[F.lit(0) for _ in names])
+    events = opens.union(passes).union(closes).groupBy("v", "kind").agg(*[F.sum(n).alias(n) for n in names])
+    swept = window_columns(events, [], [("v", True), ("kind", True)], {f"sum_{n}": running("sum", F.col(n)) for n in names}, parts)
+    told = swept.where("kind = 1").select(F.col("v").alias("__v"), *[F.col(f"sum_{n}").alias(f"__{n}") for n in names])
+    out = points.join(told, _q(point) == F.col("__v"), "left")
+    return out.select(*[_q(c) for c in points.columns], *[F.coalesce(F.col(f"__{n}"), F.lit(0)).alias(name) for n, name in zip(names, totals)])

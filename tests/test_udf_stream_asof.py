@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablework.operators import opensql
-from tablework.operators.opensql import asof_join, range_join, run_sql
+from tablework.operators.opensql import asof_join, range_join, range_totals, run_sql
 from tablework.operators.prepare import PrepareError
 from tablework.operators.sample import reservoir_sample
 from tablework.operators.udf import GroupAggregate, aggregate_groups, apply_in_pandas, map_batches, register_step, run_step
@@ -126,6 +126,36 @@ def test_range_join_of_overlapping_ranges(spark):
     assert tuple(got) == (sum(len(r) for r, _ in want), sum(sum(r) for r, _ in want), sum(len(r) * g for r, g in want))
 
 
+@pytest.mark.parametrize("long", [0, 40])
+def test_range_join_tries_no_more_than_three_times_its_points(spark, long):
+    P = spark.range(4000).withColumn("x", F.col("id"))
+    G = spark.range(50).select(F.col("id").alias("g"), (F.col("id") * 61).alias("lo"), (F.col("id") * 61 + long).alias("hi"))
+    met = range_join(P, G, "x", "lo", "hi")
+    size, listed = opensql._levels(), range(50)
+    most = max([n for n in size if n <= long + 1] or size[-1:])
+    assert met.count() == 50 * (long + 1) and most <= max(long + 1, opensql.STEP)
+    tried = sum(most * ((g * 61 + long) // most - g * 61 // most + 1) for g in listed)
+    assert tried <= 3 * 50 * max(long + 1, opensql.STEP)
+
+
+@pytest.mark.parametrize("kind", ["date", "string", "decimal(38,2)", "double"])
+def test_range_totals_match_brute_force(spark, kind):
+    make, r = {**KINDS, "double": lambda i: float("nan") if i == 120 else i * 0.5}[kind], random.Random(8)
+    pts = [(i, None if i % 17 == 0 else r.randint(0, 120)) for i in range(150)] + [(200 + i, 60) for i in range(30)]
+    rngs = [(j if j % 9 else None, a, min(120, a + r.choice([-3, 0, 0, 1, 5, 90]))) for j, a in enumerate(r.choices(range(121), k=60))] + [(90, None, 5), (91, 5, None)] * 2
+    P = spark.createDataFrame([(i, None if x is None else make(x)) for i, x in pts], f"id long, x {kind}")
+    G = spark.createDataFrame([(j, *[None if v is None else make(v) for v in (a, b)]) for j, a, b in rngs], f"g long, lo {kind}, hi {kind}")
+    got = range_totals(P, G, "x", "lo", "hi", {"n": F.lit(1), "keys": F.col("g")}, 4).select("id", "n", "keys").collect()
+    met = {p: [g for g, a, b in rngs if None not in (x, a, b) and a <= x <= b] for p, x in pts}
+    assert sorted(map(tuple, got)) == sorted((p, len(g), sum(k or 0 for k in g)) for p, g in met.items())
+
+
+def test_range_join_dates_makes_no_pairs(spark, sf):
+    import __spark_entry__ as e
+    plan = e.queries()["range_join_dates"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
 def _spread_of(rows):
     return GroupAggregate(lambda: (0, 0.0, None), lambda s, p: (s[0] + len(p), s[1] + p.v.sum(), max([x for x in (s[2], p.v.max()) if x is not None and x == x], default=None)),
                           lambda a, b: (a[0] + b[0], a[1] + b[1], max([x for x in (a[2], b[2]) if x is not None], default=None)),
