@@ -188,6 +188,40 @@ def test_fuzzy_lines_on_messy_rows(messy, nothing):
     assert all(r.text == "" for r in got if r.doc_id == 11)
 
 
+def test_similar_by_its_definition():
+    """The bounds that end a comparison early never turn a similar pair away."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    for k in range(400):
+        a = list(rng.choice(list("abcd eé日0"), rng.integers(1, 500)))
+        b = list(a)
+        for _ in range(int(len(a) * rng.uniform(0, 0.35))):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i:i + int(rng.integers(0, 2))] = list(rng.choice(list("abcd"), rng.integers(0, 3)))
+        if k % 5 == 0:  # all edits at one place
+            b = list(rng.choice(list("xyz"), len(a) // 5)) + a
+        pairs.append(("".join(a), "".join(b)))
+    pairs += [(x, pairs[i - 1][1]) for i, (x, _) in enumerate(pairs)]
+    pairs += [("", ""), ("", "abc"), ("abc", "")]
+    want = [1 - fuzzy_lines.edit_distance(x, y) / max(1, len(x), len(y)) >= fuzzy_lines.SIMILARITY - 1e-9 for x, y in pairs]
+    assert [fuzzy_lines.similar(x, y) for x, y in pairs] == want and 100 < sum(want) < 400
+    apart = fuzzy_lines.told_apart([x for x, _ in pairs], [y for _, y in pairs])
+    assert not (apart & np.array(want)).any() and apart.sum() > 200
+
+
+@pytest.mark.parametrize("hot", [512, 4])
+def test_fuzzy_lines_of_large_keys(spark, monkeypatch, hot):
+    """Lines with one fingerprint, near copies and quite different ones, and lines with spaces and characters of several bytes."""
+    monkeypatch.setattr(fuzzy_lines, "HOT", hot)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("bcdfgklmnprst"), n))
+    few = [" ".join(word(9) for _ in range(5)) for _ in range(40)]
+    rows = [(i, "the " * 14 + (few[i % 40] if i % 3 else few[i % 40][:-1] + "x")) for i in range(300)]
+    rows += [(1000 + i, f"schöne große Häuser stehen　 {'weit ' * (i % 3)}hinter den grünen Hügeln 日本{i % 7}") for i in range(20)]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows)
+
+
 def test_leaks_match_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
