@@ -2,9 +2,11 @@
 import collections
 import hashlib
 import re
+import time
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,68 @@ def test_parity_join_matches_brute_force(spark, sf, monkeypatch, few, cell):
     assert got == brute.components(docs)
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = manager.getAllFiles()
+        names = [found.apply(i).getName() for i in range(found.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffled()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    assert len(C.staged(df, "counts").collect()) == 7
+    until = time.time() + 20
+    while (left := {n for n in shuffled() - before if n.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_pairs_of_a_key_are_compared_once(spark):
+    members = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 4), (3, 5), (4, 4), (4, 5), (5, 2), (5, 4), (5, 5)]
+    members = C.staged(spark.createDataFrame(members, "key long, cls long"), "members")
+    sketches = C.staged(spark.createDataFrame([(i, 0, 9, b"12345678") for i in range(1, 6)], "cls long, band int, n long, held binary"), "sketches")
+    asked = []
+
+    def close(pairs):
+        asked.append(sorted(map(tuple, pairs.collect())))
+        return pairs
+
+    grouping.connect(members, close, lambda pairs: pairs.where("a < 0"), sketches, None, lambda wanted: sketches.select("cls", "held"), None)
+    assert asked == [[(1, 2), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)], []]
+
+
+def test_cells_compare_short_sketches():
+    rng = np.random.default_rng(7)
+    core = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((core[:n], rng.integers(0, 1 << 63, m, dtype=np.uint64)))) for n, m in rng.integers(20, 400, (40, 2)) // (1, 12)]
+    n, held, label = np.array([len(x) for x in sets]), [parity_join.sketch(x) for x in sets], np.arange(40) // 2
+    assert all(8 * len(h) < 4 * len(x) or len(h) == 8 for x, h in zip(sets, held))
+    near = parity_join.near_of(80)
+
+    def want(pairs):
+        return sorted((i, j) for i, j in pairs if label[i] != label[j] and max(n[i], n[j]) * 80 <= min(n[i], n[j]) * 100
+                      and parity_join.hamming(held[i], held[j]) <= (n[i] + n[j]) * 20 // 180)
+
+    everyone, x, y = np.arange(40), np.arange(15), np.arange(15, 40)
+    alone = want((i, j) for i in range(40) for j in range(i + 1, 40))
+    assert alone and sorted(zip(*(p.tolist() for p in near(n, held, label, everyone, everyone)))) == alone
+    assert sorted(zip(*(p.tolist() for p in near(n, held, label, x, y)))) == want((i, j) for i in x.tolist() for j in y.tolist())
+
+
+def test_a_crowded_cell_gives_its_items():
+    def cell(label):
+        size = len(label)
+        whole = {c: np.zeros(size, np.int64) for c in ("k", "l", "i", "j", "band", "at")}
+        held = pa.array([parity_join.sketch(np.arange(50, dtype=np.uint64))] * size, pa.binary())
+        group = pa.table(whole | {"cell": np.full(size, 77), "cls": np.arange(size), "n": np.full(size, 50), "held": held, "label": np.array(label)})
+        return sorted(zip(*grouping._near_task(parity_join.near_of(80))(group).to_pydict().values()))
+
+    assert cell([1, 1, 3]) == [(None, 0, 2), (None, 1, 2)]
+    assert cell([1, 2, 3, 4, 5]) == [(77, i, None) for i in range(5)]
+    assert cell([1, 1]) == []
+
+
 def test_parity_join_of_an_empty_table(nothing):
     assert parity_join.near_components(nothing).count() == 0
 
