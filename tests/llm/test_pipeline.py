@@ -1,4 +1,5 @@
 """Registered queries of the package, and the pipeline against a stage-by-stage brute force."""
+import hashlib
 import re
 
 import brute
@@ -8,6 +9,8 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline
+from tablework.llm import common as C
+from tablework.llm import grouping
 
 
 def test_every_operator_is_registered():
@@ -64,3 +67,25 @@ def test_near_stage_goes_by_rows(spark, messy, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = sorted(map(tuple, corpus_pipeline.near(spark, docs, sf).collect()), key=str)
     assert left == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_near_stage_fetches_sets_of_close_pairs_only(spark, monkeypatch):
+    """Seven documents each of shared passages meet in cells; short sketches tell them apart, only copies need whole sets."""
+    monkeypatch.setattr(grouping, "FEW", 2)
+    monkeypatch.setattr(grouping, "CELL", 6)
+    word = lambda *x: "w" + hashlib.md5(str(x).encode()).hexdigest()[:8]
+    texts = [" ".join([word("passage", g, i) for i in range(40)] + [word("own", g, d, i) for i in range(60)]) for g in range(12) for d in range(7)]
+    copies = [f"{texts[0]} tonight", f"{texts[8]} tonight"]
+    rows, staged = {}, C.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "staged", counted)
+    frame = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    kept = corpus_pipeline.near(spark, frame, None).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(texts)))
+    assert rows["clusters"][0] >= 7  # else nothing met in a cell
+    assert sum(rows["wanted"][1:]) == 4  # all but the documents that sketches are made of
